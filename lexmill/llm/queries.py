@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, line_dedup, mixing, near_dedup, token_files
+from lexmill.llm import bpe, lang_id, line_dedup, mixing, near_dedup, quality, token_files
+from lexmill.llm.sampling import held_out
 from lexmill.llm.store import Scratch
 
 
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,8 +48,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(spark, path).drop("ids")
 
 
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = lang_id.fit_languages(docs)
+    return lang_id.predict_languages(docs.drop("lang"), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_bpe, op4_line_dedup, op5_near_dedup, op8_token_files)}
+    return {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_bpe, op4_line_dedup, op5_near_dedup, op8_token_files, op10_lang_id)}
 
 
 ORACLES = {
