@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, lang_id, line_dedup, mixing, near_dedup, quality, token_files
+from lexmill.llm import bpe, fingerprint, lang_id, line_dedup, mixing, near_dedup, quality, token_files
 from lexmill.llm.sampling import held_out
 from lexmill.llm.store import Scratch
 
@@ -42,6 +42,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'token-files').root}/files"
     token_files.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -55,7 +59,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_bpe, op4_line_dedup, op5_near_dedup, op8_token_files, op10_lang_id)}
+    return {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_bpe, op4_line_dedup, op5_near_dedup, op7_fingerprints, op8_token_files, op10_lang_id)}
 
 
 ORACLES = {
