@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, fingerprint, lang_id, line_dedup, mixing, near_dedup, quality, token_files
+from lexmill.llm import bpe, fingerprint, hnsw, lang_id, line_dedup, mixing, near_dedup, quality, token_files
 from lexmill.llm.sampling import held_out
 from lexmill.llm.store import Scratch
 
@@ -52,6 +52,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(spark, path).drop("ids")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = lang_id.fit_languages(docs)
@@ -59,7 +64,7 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_bpe, op4_line_dedup, op5_near_dedup, op7_fingerprints, op8_token_files, op10_lang_id)}
+    return {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_bpe, op4_line_dedup, op5_near_dedup, op7_fingerprints, op8_token_files, op9_nearest, op10_lang_id)}
 
 
 ORACLES = {
