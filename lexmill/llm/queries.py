@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, fingerprint, hnsw, lang_id, line_dedup, mixing, near_dedup, quality, token_files
+from lexmill.llm import bpe, chat, fingerprint, hnsw, lang_id, line_dedup, mixing, near_dedup, quality, token_files
 from lexmill.llm.sampling import held_out
 from lexmill.llm.store import Scratch
 
@@ -42,6 +42,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -64,10 +68,23 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_bpe, op4_line_dedup, op5_near_dedup, op7_fingerprints, op8_token_files, op9_nearest, op10_lang_id)}
+    return {f.__name__: f for f in (op1_quality, op2_mix_sources, op3_bpe, op4_line_dedup, op5_near_dedup, op6_chat, op7_fingerprints, op8_token_files, op9_nearest, op10_lang_id)}
 
 
 ORACLES = {
+    "op6_chat": r"""
+WITH b AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '< |im_') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM b WHERE speaker <> 'system'),
+r AS (SELECT b.conv_id, p.perspective, b.turn, b.speaker, b.body,
+             CASE WHEN b.speaker = 'system' THEN 'system' WHEN b.speaker IS NOT DISTINCT FROM p.perspective THEN 'assistant' ELSE 'user' END AS role_as
+      FROM b LEFT JOIN p ON b.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, CASE WHEN role_as = 'user' THEN speaker END AS name,
+             '<|im_start|>' || role_as || CASE WHEN role_as = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
+t AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS rendered FROM h),
+s AS (SELECT *, length(rendered) AS size, row_number() OVER w - 1 AS seq, coalesce(sum(length(rendered)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start
+      FROM t WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, rendered))
+SELECT conv_id, perspective, CAST(seq AS BIGINT) AS seq, turn, role_as, name, rendered, CAST(char_start AS BIGINT) AS char_start, CAST(char_start + size AS BIGINT) AS char_end,
+       CAST(CASE WHEN role_as = 'assistant' THEN char_start + length(head) END AS BIGINT) AS mask_start, CAST(CASE WHEN role_as = 'assistant' THEN char_start + size - 1 END AS BIGINT) AS mask_end FROM s""",
     "op4_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
