@@ -7,6 +7,7 @@ the dictionary matcher works on; CR and LF are always tokens of their own.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -53,21 +54,25 @@ def me_pattern(classes: CharClasses, merge: bool = False, separate: bool = False
     m, e = classes.m, classes.e
     if not m and not e:
         return ""
-    held = "".join("\\" + c if c in "\\]^-[" else c for c in joint)
-    digits_out = m if separate else ""
+    held = _inside(joint)
+    after = f"(?:[^\\r\\n{held}{m if separate else ''}])?"
 
     def run(first: str, same: str) -> str:
         more = ("" if separate and same == m else same) + (e if merge and same == m else "") + (m if merge and same == e and not separate else "")
-        steps = [f"[{more}]"] if more else []
-        if joint:
-            glue = "".join("\\" + c if c in "\\]^-[" else c for c in joint if not (separate and c.isdigit()))
-            if glue:
-                steps.append(f"[{glue}]+(?:[^\\r\\n{held}{digits_out}])?")
-        return f"[{first}]" + (f"(?:{'|'.join(steps)})*" if steps else "")
+        glue = _inside(c for c in joint if not (separate and re.match(f"[{m}]", c)))
+        steps = ([f"[{glue}]+{after}"] if glue else []) + ([f"[{more}]"] if more else [])
+        own = _inside(c for c in joint if re.match(f"[{first}]", c))
+        head = f"(?:[{own}]{after}|[{first}])" if own else f"[{first}]"
+        return head + (f"(?:{'|'.join(steps)})*" if steps else "")
 
     return "|".join(run(c, c) for c in (m, e) if c)
 
 
+def _inside(chars) -> str:
+    """Characters as the body of a bracket."""
+    return "".join("\\" + c if c in "\\]^-[" else c for c in chars)
+
+
 def kind_of(piece: Column, classes: CharClasses) -> Column:
     """newline, separator, number, letter or run, by a piece's first character."""
     head = F.substring(piece, 1, 1)
@@ -98,6 +103,18 @@ def fold_rules(lines, name: str = "value"):
         return F.when(got == "", F.lit(None)).when(got.startswith("U+") & (F.length(got) > 1), F.conv(F.substring(got, 3, 6), 16, 10).cast("int")).otherwise(F.ascii(got))
 
     spans = parts.select("line_no", "nth", point(1).alias("a"), point(2).alias("b"), point(3).alias("c"))
-    each = spans.select("line_no", "nth", F.col("c") - F.col("a"), F.explode(F.sequence("a", F.coalesce("b", "a"))).alias("src"), (F.col("c") - F.col("a")).alias("shift"))
-    last = each.groupBy("src").agg(F.max_by(F.col("src") + F.col("shift"), F.struct("line_no", "nth")).alias("dst"))
-    return last
+    each = spans.select("line_no", "nth", F.explode(F.sequence("a", F.coalesce("b", "a"))).alias("src"), (F.col("c") - F.col("a")).alias("shift"))
+    return each.groupBy("src").agg(F.max_by(F.col("src") + F.col("shift"), F.struct("line_no", "nth")).alias("dst"))
+
+
+def class_ranges(classes: CharClasses) -> list[tuple[int, int, str]]:
+    """(first, last, class) code point ranges of the classes, in order."""
+    out = []
+    for name in ("m", "e", "w"):
+        body = getattr(classes, name).replace("\\t", "\t")
+        i = 0
+        while i < len(body):
+            to = body[i + 2] if i + 2 < len(body) and body[i + 1] == "-" else body[i]
+            out.append((ord(body[i]), ord(to), name))
+            i += 3 if to != body[i] else 1
+    return sorted(out)

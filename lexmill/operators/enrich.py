@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexmill.operators import lookup
+from lexmill.config import SegmentConfig
+from lexmill.operators import lookup, relational, runs
 
 
 def rewrite_synonyms(tokens: DataFrame, synonyms: DataFrame, by: list[str], most_tokens: int = 4) -> DataFrame:
@@ -40,3 +41,33 @@ def with_thesaurus(tokens: DataFrame, thesaurus: DataFrame, by: list[str]) -> Da
     words = tokens.select(*by, "pos", "surface", F.lit("word").alias("kind"))
     more = lookup.related(tokens.select(*by, "pos", F.col("surface").alias("term")), thesaurus).select(*by, "pos", F.col("related_term").alias("surface"), F.lit("thesaurus").alias("kind"))
     return words.unionByName(more)
+
+
+def all_kinds(rows: DataFrame, by: list[str], unigram: DataFrame, config: SegmentConfig, keywords: DataFrame | None = None, synonyms: DataFrame | None = None, thesaurus: DataFrame | None = None, text: str = "text", most: int = 36) -> DataFrame:
+    """Rows (by, start_byte, byte_len, surface, kind, is_synonym): words, sub-words (omni), keywords and related terms.
+
+    What depends on a run alone is found once for each distinct run; occurrences get it by a join on the run. Synonyms
+    replace single words here. A sub-word equal to a word at the same place is left out, and so is such a keyword.
+    """
+    occ = runs.pieces(rows.select(*by, text), config, text)
+    size = F.octet_length("piece")
+    occ = occ.withColumn("at", F.coalesce(F.sum(size).over(W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    distinct = occ.where(F.col("kind") == "run").select(F.col("piece").alias("run")).distinct()
+    words = relational.segment_runs(distinct, unigram, most, config.lookahead_inclusive, config.compat).select("run", "start", "len", "surface")
+    parts = words.withColumn("kind", F.lit("word")).unionByName(relational.omni(distinct, unigram, most, config.omni, True, config.lookahead_inclusive).withColumn("kind", F.lit("omni")))
+    if keywords is not None:
+        parts = parts.unionByName(relational.keyword_hits(distinct, keywords.where(F.col("freq") > 0), most, words).withColumn("kind", F.lit("keyword")))
+    parts = parts.withColumn("skip", F.octet_length(F.substring(F.col("run"), F.lit(1), F.col("start")))).drop("len", "start")
+    inside = occ.where(F.col("kind") == "run").join(parts.withColumnRenamed("kind", "part_kind"), F.col("piece") == F.col("run"))
+    out = inside.select(*by, (F.col("at") + F.col("skip")).alias("start_byte"), F.octet_length("surface").alias("byte_len"), "surface", F.col("part_kind").alias("kind"))
+    out = out.unionByName(occ.where(F.col("kind") != "run").select(*by, F.col("at").alias("start_byte"), size.alias("byte_len"), F.col("piece").alias("surface"), F.lit("word").alias("kind")))
+    out = out.withColumn("is_synonym", F.lit(False))
+    if synonyms is not None:
+        s = synonyms.select(F.col("term").alias("__t"), F.col("canonical").alias("__c"))
+        out = out.join(s, (F.col("surface") == F.col("__t")) & (F.col("kind") == "word"), "left")
+        out = out.withColumn("is_synonym", F.col("__c").isNotNull()).withColumn("surface", F.coalesce("__c", "surface")).drop("__t", "__c")
+    if thesaurus is not None:
+        of = out.where(F.col("kind") == "word").select(*by, "start_byte", "byte_len", F.col("surface").alias("term"))
+        more = lookup.related(of, thesaurus).select(*by, "start_byte", "byte_len", F.col("related_term").alias("surface"), F.lit("thesaurus").alias("kind"), F.lit(False).alias("is_synonym"))
+        out = out.unionByName(more)
+    return out
