@@ -17,24 +17,26 @@ folder's tables; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexmill.llm.bpe import gather
-from lexmill.llm.textbytes import STEP, mix
+from lexmill.llm.textbytes import STEP, mix, text_bytes
 
-SLAB, KEPT = 32 << 20, 600_000
+#: Bytes of text encoded together, pieces kept for later texts, pieces in one call.
+SLAB, KEPT, JOINED = 32 << 20, 1_000_000, 512
 SHARD_IDS, SHARD_DOCS = 1 << 21, 1 << 16
 LEVELS = 48
+BLANKS = np.frombuffer(b"\t\n\r", np.uint8)
 NULL_KEY = np.uint64(0x5EED0F0000000001)
 
 SHARDS = "part int, shard int, start_in_part long, n_ids long, width int, payload binary, keys array<long>, levels binary, bits binary, prints binary, offsets binary, lengths binary"
@@ -91,12 +93,6 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix(keys ^ (STEP << np.uint64(1))) >> np.uint64(32)).astype(np.uint32)
 
 
-class _Numbered(dict):
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class PieceEncoder:
     """Encodes texts with a tokenizers file; a piece between ASCII blanks is encoded once and kept for later texts.
 
@@ -111,23 +107,102 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.blanks = str.maketrans("\t\n\r", "   ")
-        self.reset()
-
-    def reset(self) -> None:
-        self.known, self.ids, self.lens = _Numbered(), np.array([self.end_id], np.uint32), np.ones(1, np.int64)
-        self.known["\n"]  # number 0, the end: no piece holds a line end
-
-    def numbers(self, text: str) -> np.ndarray:
-        pieces = text.translate(self.blanks).split(" ") if text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.array([*map(self.known.__getitem__, pieces), 0], np.int32)
-
-    def settle(self) -> None:
-        new = list(itertools.islice(self.known, len(self.lens), None))
-        for k in range(0, len(new), 1 << 15):
-            got = [x.ids for x in self.tokenizer.encode_batch(new[k : k + (1 << 15)], add_special_tokens=False)]
-            self.lens = np.concatenate([self.lens, np.fromiter(map(len, got), np.int64, len(got))])
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.uint32)])
+        suffix = self.tokenizer.model.end_of_word_suffix or "\0"
+        self.closes = np.zeros(self.size, bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.marks = {",": 1, ".": 2}
+        # entry 0 of ids, lens and uses is the end of a text, entry k + 1 is piece k of known
+        self.known, self.ids, self.lens, self.uses = pa.array([], pa.large_string()), np.array([end_id], np.uint32), np.ones(1, np.int64), np.ones(1, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of all texts' pieces one after another, each text's followed by 0, and how many each text has."""
+        data, offs = text_bytes(texts)
+        blank = np.where(np.isin(data, BLANKS), np.uint8(32), data)
+        spaced = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(blank)])
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = at < 0
+        at[new] = len(self.known) + np.arange(int(new.sum()))
+        self._settle(coded.dictionary.filter(pa.array(new)))
+        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        entries = np.insert(at[coded.indices.to_numpy()] + 1, ends, 0)
+        return entries, np.diff(ends, prepend=0) + 1
+
+    def _encoded(self, pieces: list[str], one: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of pieces, many of them joined to a text, and how many each has.
+
+        ``one``: the pieces are letters only, so each is one word of the vocabulary's pattern and ends with a token that
+        ends words; otherwise, or where the count shows that this fails, tokens are told apart by where they start.
+        """
+        ids, lens = [], []
+        for k in range(0, len(pieces), JOINED * 64):
+            groups = [pieces[i : i + JOINED] for i in range(k, min(len(pieces), k + JOINED * 64), JOINED)]
+            encode = self.tokenizer.encode_batch_fast if one else self.tokenizer.encode_batch
+            for group, got in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False)):
+                out = np.array(got.ids, np.uint32)
+                ends = np.flatnonzero(self.closes[out]) if one else None
+                if one and (len(ends) != len(group) or len(out) and ends[-1] != len(out) - 1):
+                    more = self._encoded(group, False)
+                    ids += more[0]
+                    lens += more[1]
+                    continue
+                if not one:
+                    starts = np.cumsum([0, *[len(p) + 1 for p in group]])
+                    ends = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64), starts[1:]) - 1
+                ids.append(out)
+                lens.append(np.diff(ends, prepend=-1))
+        return ids, lens
+
+    def _settle(self, new: pa.Array) -> None:
+        """Encode new pieces and add them to the known ones.
+
+        The vocabulary lower-cases, so ASCII pieces are encoded in lower case; a comma or full stop after a letter is a
+        word of its own, so it is split off. What is left is often known or shared by several new pieces.
+        """
+        if not len(new):
+            return
+        done = len(self.lens)
+        bases: dict[str, int] = {}
+        source, tail = np.empty(len(new), np.int64), np.zeros(len(new), np.int64)
+        for i, p in enumerate(new.to_pylist()):
+            q = p.lower() if p.isascii() else p
+            if len(q) > 1 and q[-1] in self.marks and q[-2].lower().isalpha():
+                tail[i] = self.marks[q[-1]]
+                q = q[:-1]
+            source[i] = bases.setdefault(q, len(bases))
+        names = list(bases)
+        entry = pc.index_in(pa.array(names, pa.large_string()), value_set=self.known).fill_null(-1).to_numpy().astype(np.int64) + 1
+        words = [i for i in np.flatnonzero(entry == 0).tolist() if names[i].isalpha()]
+        others = [i for i in np.flatnonzero(entry == 0).tolist() if not names[i].isalpha()]
+        w_ids, w_lens = self._encoded([names[i] for i in words], True)
+        o_ids, o_lens = self._encoded([names[i] for i in others], False)
+        entry[words + others] = done + np.arange(len(words) + len(others))
+        marks = [np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, np.uint32) for m in self.marks]
+        lens = np.concatenate([self.lens, *w_lens, *o_lens, [0], [len(m) for m in marks]]).astype(np.int64)
+        ids = np.concatenate([self.ids, *w_ids, *o_ids, *marks]).astype(np.uint32)
+        which = np.stack([entry[source], done + len(words) + len(others) + tail], axis=1)
+        self.ids = np.concatenate([self.ids, gather(ids, np.cumsum(lens) - lens, lens, which.ravel())])
+        self.lens = np.concatenate([self.lens, lens[which].sum(axis=1)])
+        self.known = pa.concat_arrays([self.known, new])
+
+    def used(self, which: np.ndarray) -> None:
+        uses = np.bincount(which, minlength=len(self.lens))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+
+    def thin(self) -> None:
+        """Past the bound, forget the pieces least used."""
+        if len(self.lens) <= KEPT:
+            return
+        least = 2
+        while (self.uses >= least).sum() > KEPT // 2:
+            least *= 2
+        self.uses[0] = max(self.uses[0], least)
+        keep = np.flatnonzero(self.uses >= least)
+        offs = np.cumsum(self.lens) - self.lens
+        self.ids, self.lens, self.uses = gather(self.ids, offs, self.lens, keep), self.lens[keep], self.uses[keep] // 2
+        self.known = self.known.take(pa.array(keep[1:] - 1))
 
 
 #: A worker's encoders by vocabulary and end id, with the pieces that they keep.
@@ -155,37 +230,39 @@ def _write(shared, name: str, end_id: int):
         width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
         shard = start = 0
 
-        def flush(keys: list, docs: list) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal shard, start
-            enc.settle()
-            offs = np.cumsum(enc.lens) - enc.lens
-            lens = np.array([int(enc.lens[d].sum()) for d in docs], np.int64)
+            keys = [k for b in held for k in b.column(0).to_pylist()]
+            entries, pieces = enc.encode(pa.concat_arrays([b.column(1).fill_null("").cast(pa.large_string()) for b in held]))
+            offs, at = np.cumsum(enc.lens) - enc.lens, np.append(0, np.cumsum(pieces))
+            lens = np.add.reduceat(enc.lens[entries], at[:-1])
             a = 0
-            while a < len(docs):
+            while a < len(keys):
                 b = a + 1
                 size = int(lens[a])
-                while b < len(docs) and b - a < SHARD_DOCS and size + lens[b] <= SHARD_IDS:
+                while b < len(keys) and (keys[b] == keys[b - 1] or b - a < SHARD_DOCS and size + lens[b] <= SHARD_IDS):
                     size += int(lens[b])
                     b += 1
-                ids = gather(enc.ids, offs, enc.lens, np.concatenate(docs[a:b]))
+                ids = gather(enc.ids, offs, enc.lens, entries[at[a] : at[b]])
                 yield pa.RecordBatch.from_pylist([_shard_row(part, shard, start, ids, keys[a:b], lens[a:b], width)], schema)
                 shard, start, a = shard + 1, start + len(ids), b
-            if len(enc.known) > KEPT:
-                enc.reset()
+            enc.used(entries)
+            enc.thin()
 
-        keys, docs, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = text.as_py() or ""
+            for k in range(0, batch.num_rows, 1000):
+                rows = batch.slice(k, 1000)
+                if not rows.num_rows:
+                    continue
                 # rows of one doc_id share a shard, so that occurrences are numbered within it
-                if size >= SLAB and key != keys[-1]:
-                    yield from flush(keys, docs)
-                    keys, docs, size = [], [], 0
-                keys.append(key)
-                docs.append(enc.numbers(s))
-                size += len(s)
-        if docs:
-            yield from flush(keys, docs)
+                if size >= SLAB and rows.column(0)[0].as_py() != held[-1].column(0)[-1].as_py():
+                    yield from flush(held)
+                    held, size = [], 0
+                held.append(rows)
+                size += rows.column(1).nbytes
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -212,25 +289,31 @@ def lookup(shard: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(there, offsets[at] if len(prints) else 0, -1), np.where(there, lengths[at] if len(prints) else 0, -1)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard in batch.to_pylist():
-            offsets, lengths = lookup(shard, key_hashes(shard["keys"]))
-            if (offsets < 0).any():
-                raise ValueError("a stored key is not found: the shard is damaged")
-            ids = np.frombuffer(shard["payload"], f"<u{shard['width']}")
-            raw = [ids[o : o + n].astype("<u4").tobytes() for o, n in zip(offsets.tolist(), lengths.tolist())]
-            n = len(raw)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard["part"], np.int32)), pa.array(shard["keys"], pa.int64()), pa.array(shard["start_in_part"] + offsets), pa.array(lengths), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())],
-                ["part", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
-            )
+def _read(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.to_pylist():
+                offsets, lengths = lookup(shard, key_hashes(shard["keys"]))
+                if (offsets < 0).any():
+                    raise ValueError("a stored key is not found: the shard is damaged")
+                ids = np.frombuffer(shard["payload"], f"<u{shard['width']}").astype("<u4")
+                raw = [memoryview(ids[o : o + n]).cast("B") for o, n in zip(offsets.tolist(), lengths.tolist())]
+                n = len(raw)
+                columns = [pa.array(np.full(n, shard["part"], np.int32)), pa.array(shard["keys"], pa.int64()), pa.array(shard["start_in_part"] + offsets), pa.array(lengths), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                names = ["part", "doc_id", "at", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    columns.append(pa.array([bytes(x) for x in raw], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of every document of the folder, each found by its key."""
+def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every document of the folder, each found by its key."""
     shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
-    rows = shards.mapInArrow(_read, "part int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    ids = ["ids"] if with_ids else []
+    rows = shards.mapInArrow(_read(with_ids), "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     parts = spark.read.schema("part int, n_ids long, start long").parquet(f"{path}/parts")
     # the manifest has a row a part: as many as the partitions it was written with
-    return rows.join(F.broadcast(parts.select("part", "start")), "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return rows.join(F.broadcast(parts.select("part", "start")), "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *ids)
