@@ -22,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lexmill.llm.store import text_batches
+
 #: Fixed value: the pattern by which byte-level BPE splits texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose pre-tokens are encoded together; pre-tokens kept for later slabs; tokens expanded at once.
-SLAB, KEPT, PART = 48 << 20, 700_000, 1 << 20
+SLAB, KEPT, PART = 16 << 20, 600_000, 1 << 19
 
 
 def byte_letters() -> list[str]:
@@ -149,24 +152,23 @@ class _Numbered(dict):
 
 
 class Encoder:
+    """A worker's encoder. Encoded pre-tokens stay as Arrow arrays, a few bytes each, up to KEPT of the most used."""
+
     def __init__(self, tables: Tables):
         self.t, self.rx = tables, regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
-        self.reset()
-
-    def reset(self) -> None:
-        self.known = _Numbered()
-        self.ids = np.array([self.t.special[x] for x in self.t.special], np.int32)
+        self.known = pa.array(list(tables.special), pa.large_string())
+        self.ids = np.array(list(tables.special.values()), np.int32)
         self.lens = np.ones(len(self.ids), np.int64)
-        for x in self.t.special:
-            self.known[x]
+        self.uses = np.full(len(self.ids), 1 << 40, np.int64)
+        self.slab = _Numbered()
 
     def numbers(self, text: str) -> np.ndarray:
-        """The numbers of a text's pre-tokens."""
+        """The numbers of a text's pre-tokens within the slab."""
         if self.cut is not None and any(x in text for x in self.t.special):
-            parts = [np.array([self.known[p]], np.int32) if p in self.t.special else self.numbers(p) for p in self.cut.split(text) if p]
+            parts = [np.array([self.slab[p]], np.int32) if p in self.t.special else self.numbers(p) for p in self.cut.split(text) if p]
             return np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        number = self.known.__getitem__
+        number = self.slab.__getitem__
         if len(text) <= 1 << 22:
             return np.array(list(map(number, self.rx.findall(text))), np.int32)
         found, parts = (m.group() for m in self.rx.finditer(text)), []
@@ -174,16 +176,24 @@ class Encoder:
             parts.append(np.array(list(map(number, some)), np.int32))
         return np.concatenate(parts)
 
-    def settle(self) -> None:
-        """Encode the pre-tokens that are new since last time."""
-        new = [w.encode() for w in itertools.islice(self.known, len(self.lens), None)]
-        if new:
-            ids, lens = merge_all(new, self.t)
+    def _settle(self) -> np.ndarray:
+        """The entries of the slab's pre-tokens; those that are new get encoded first."""
+        names = pa.array(list(self.slab), pa.large_string())
+        self.slab = _Numbered()
+        at = pc.index_in(names, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = at < 0
+        at[new] = len(self.known) + np.arange(int(new.sum()))
+        if new.any():
+            fresh = names.filter(pa.array(new))
+            ids, lens = merge_all([w.encode() for w in fresh.to_pylist()], self.t)
+            self.known = pa.concat_arrays([self.known, fresh])
             self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        return at
 
     def encode(self, docs: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first document, ids, each document's number of ids) of runs of documents."""
-        self.settle()
+        """(first document, ids, each document's number of ids) of runs of the slab's documents; the slab ends with it."""
+        entry = self._settle()
         offs = np.cumsum(self.lens) - self.lens
         a = 0
         while a < len(docs):
@@ -191,20 +201,26 @@ class Encoder:
             while b < len(docs) and (b == a or size + len(docs[b]) <= PART):
                 size += len(docs[b])
                 b += 1
-            which = np.concatenate(docs[a:b])
+            which = entry[np.concatenate(docs[a:b])]
+            self.uses += np.bincount(which, minlength=len(self.uses))
             per = np.cumsum(np.append(0, self.lens[which]))
             at = np.cumsum([0, *map(len, docs[a:b])])
             yield a, gather(self.ids, offs, self.lens, which), np.diff(per[at])
             a = b
-        if len(self.known) > KEPT:
-            self.reset()
+        if len(self.lens) > KEPT:
+            least = 2
+            while (self.uses >= least).sum() > KEPT // 2:
+                least *= 2
+            keep = np.flatnonzero(self.uses >= least)
+            self.ids, self.known = gather(self.ids, offs, self.lens, keep), self.known.take(pa.array(keep))
+            self.lens, self.uses = self.lens[keep], self.uses[keep] // 2
 
 
 #: A worker's encoders by vocabulary, with the pre-tokens that they keep.
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encode(shared, name: str):
+def _encode(shared, name: str, decode: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ENCODERS:
             _ENCODERS[name] = Encoder(shared.value)
@@ -216,7 +232,10 @@ def _encode(shared, name: str):
             for first, out, lens in encoder.encode(docs):
                 ends = np.append(0, np.cumsum(lens)) * 4
                 raw = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(out, "<u4"))])
-                yield pa.RecordBatch.from_arrays([keys.slice(first, len(lens)), pa.array(lens), raw.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+                columns = [keys.slice(first, len(lens)), pa.array(lens), raw.cast(pa.binary())]
+                if decode:
+                    columns.append(pa.array([decoded(encoder.t, out[a // 4 : b // 4]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
 
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
@@ -233,14 +252,15 @@ def _encode(shared, name: str):
     return run
 
 
+def decoded(t: Tables, ids: np.ndarray) -> str:
+    """The text of ids; bytes that are not UTF-8 become replacement characters."""
+    return b"".join(gather(t.token_raw, t.token_off, t.token_len, ids[k : k + PART]).tobytes() for k in range(0, len(ids), PART)).decode("utf-8", "replace")
+
+
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
         for batch in batches:
-            texts = []
-            for x in batch.column(batch.schema.get_field_index("ids")):
-                which = np.frombuffer(x.as_py() or b"", "<u4")
-                texts.append(b"".join(gather(t.token_raw, t.token_off, t.token_len, which[k : k + PART]).tobytes() for k in range(0, len(which), PART)).decode("utf-8", "replace"))
+            texts = [decoded(shared.value, np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(batch.schema.get_field_index("ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
@@ -248,13 +268,20 @@ def _decode(shared):
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Tables(vocabulary))
+    shared = text_batches(docs.sparkSession).sparkContext.broadcast(Tables(vocabulary))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_encode(shared, vocabulary), f"doc_id {kind}, n_tokens long, ids binary")
 
 
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded, the text of the ids, of each row: encoding and decoding in one pass."""
+    shared = text_batches(docs.sparkSession).sparkContext.broadcast(Tables(vocabulary))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_encode(shared, vocabulary, True), f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+
+
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``encoded`` (with a column ids) with a column decoded: the text of the ids."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Tables(vocabulary))
+    shared = text_batches(encoded.sparkSession).sparkContext.broadcast(Tables(vocabulary))
     base = encoded.drop("decoded")
     return base.mapInArrow(_decode(shared), StructType([*base.schema.fields, StructField("decoded", StringType())]))
