@@ -35,6 +35,8 @@ def perspectives(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     body = F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("< |im_"))
     base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), body.alias("body"))
     people = base.where(F.col("speaker") != "system").select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
+    # written, so that the join's sides are plain shuffles and a dialogue with very many turns can be split
+    people = scratch.cut(people, "people")
     rows = base.join(people, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
     own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     role_as = F.when(F.col("speaker") == "system", "system").when(own, "assistant").otherwise("user")

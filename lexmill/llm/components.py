@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from lexmill.llm.store import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFrame:
     """Edges (a < b) after one step; with none of a component's links lost."""
     around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     turned = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     near = around.unionByName(turned) if large else turned
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    both = near.join(least, "u")
+    # written, so that the join's sides are plain shuffles and the edges of a node with very many can be split
+    both = near.join(scratch.cut(least, name), "u")
     if large:
         moved = both.where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
@@ -37,8 +38,9 @@ def connected(edges: DataFrame, scratch: Scratch, label: str, most_steps: int =
     before, step = _state(now), 0
     while before[0]:
         step += 1
-        new = scratch.cut(_star(_star(now, True), False), f"{label}_{step}")
-        scratch.drop(f"{label}_{step - 1}")
+        wide = scratch.cut(_star(now, True, scratch, f"{label}_{step}_large"), f"{label}_{step}_wide")
+        new = scratch.cut(_star(wide, False, scratch, f"{label}_{step}_small"), f"{label}_{step}")
+        scratch.drop(f"{label}_{step - 1}", f"{label}_{step}_large", f"{label}_{step}_wide", f"{label}_{step}_small")
         now, after = new, _state(new)
         if after == before:
             break

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.store import text_batches
 from lexmill.llm.textbytes import STEP, mix
 
 K, SLOTS, PICK = 5, 128, 2
@@ -113,7 +114,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row."""
-    spark = docs.sparkSession
+    spark = text_batches(docs.sparkSession)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     # ranges of doc_id from a pass over ids alone, four a task so that tasks get even shares; one doc_id is in one range

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lexmill.llm.sampling import thin, trainable
+from lexmill.llm.store import text_batches
 
 WINDOW = 24
 SLAB, KEPT = 32 << 20, 600_000
@@ -283,6 +284,7 @@ def _sampled(windows: int):
 
 def fit_languages(docs: DataFrame, docs_per_lang: int = 400, windows: int = 48, seed: int = 17) -> Network | None:
     """Train on ``docs`` (doc_id, text, lang); a training text over 64 Ki characters gives windows of one such stretch."""
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     got = thin(rows, "lang", docs_per_lang, seed).select("lang", "text").mapInArrow(_sampled(windows), "lang string, w binary").collect()
     sample = sorted((r.lang, bytes(r.w)) for r in got)
@@ -293,6 +295,6 @@ def fit_languages(docs: DataFrame, docs_per_lang: int = 400, windows: int = 48,
 def predict_languages(docs: DataFrame, net: Network | None) -> DataFrame:
     """``docs`` with lang_pred and score."""
     base = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = text_batches(docs.sparkSession).sparkContext.broadcast(net)
     name = 0 if net is None else zlib.crc32(b"".join(w.tobytes() for w in net.weights()))
     return base.mapInArrow(_predict(shared, name, base.columns.index("text")), StructType([*base.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -45,7 +45,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, partit
     hashed = scratch.cut(keyed.select(F.xxhash64("key").alias("h"), F.crc32(F.col("key").cast("binary")).alias("c"), "doc_id", "text_hash", "pos"), "hashed")
     ordered = hashed.select("h", "c", "doc_id", "pos").repartitionByRange(n, "h", "c", "doc_id").sortWithinPartitions("h", "c", "doc_id", "pos")
     first = ordered.groupBy("h", "c", "doc_id").agg(F.min("pos").alias("first_pos"))
-    spread = first.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep_doc")).where(F.col("n_docs") >= min_docs).select("h", "c", "keep_doc")
+    spread = first.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keep_doc")).where(F.col("n_docs") >= min_docs)
+    # written, so that both sides of the join are plain shuffles and a line that many documents share can be split
+    spread = scratch.cut(spread.select("h", "c", "keep_doc"), "spread")
     lost = hashed.join(spread, ["h", "c"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
     dropped = lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     gap = lambda x, i: x - F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("p"), i - 1)) - 1

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import textbytes as tb
 from lexmill.llm.components import connected
-from lexmill.llm.store import Scratch, small_batches
+from lexmill.llm.store import Scratch, small_batches, text_batches
 
 BANDS, ROWS = 28, 5
 SAMPLES = 400
@@ -180,7 +180,7 @@ def _sketch_filter(pairs: DataFrame, reps: DataFrame, limit: int, percent: int)
 
 def near_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+    spark = text_batches(docs.sparkSession)
     scratch = Scratch(spark, "near")
     limit = most_odd(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -192,13 +192,15 @@ def near_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
     exploded = reps.select(F.posexplode("bands").alias("band", "bucket"), "rep")
     shared = exploded.groupBy("band", "bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where(F.col("a") < F.col("top")).drop("top")
+    # written, as are other grouped sides of joins below: plain shuffles on both sides let a large bucket be split
+    shared = scratch.cut(shared, "shared")
     in_shared = scratch.cut(exploded.join(shared, ["band", "bucket"]).select("band", "bucket", "rep", "a"), "buckets")
     star = in_shared.where(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b")).distinct()
     star = scratch.cut(_sketch_filter(star, reps, limit, percent), "star")
     wanted = in_shared.select("rep").distinct()
     sets = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets(width), "rep long, members binary")
     sets = scratch.cut(sets.where(F.octet_length("members") > 0), "sets")
-    with small_batches(spark, 500):
+    with small_batches(spark, 128):
         links = scratch.cut(_confirmed(star, sets, percent), "star_links")
     comps = connected(links, scratch, "first")
 
@@ -207,6 +209,7 @@ def near_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     sizes = named.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("n_all"), F.max(F.struct("n", "comp")).alias("top")).where(F.col("n_comps") > 1)
     mixed = mixed.select("band", "bucket", F.col("top.comp").alias("top_comp"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n_all") - F.col("top.n")) / BLOCK).cast("int").alias("stray_blocks"))
+    mixed = scratch.cut(mixed, "mixed")
     rows = named.join(mixed, ["band", "bucket"]).join(reps.select("rep", "n_shingles", "sketch", "bands"), "rep").withColumn("at", F.xxhash64("rep", "bucket"))
     deal = lambda n: F.pmod(F.col("at"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -214,13 +217,14 @@ def near_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     strays = rows.where(F.col("comp") != F.col("top_comp")).select("band", "bucket", "rep", "comp", "n_shingles", "sketch", "bands", F.lit(True).alias("stray"), deal("stray_blocks").alias("j"), every("blocks").alias("i"))
     more = members.unionByName(strays).groupBy("band", "bucket", "i", "j").applyInArrow(_near_in_blocks(limit, percent), "a long, b long").distinct()
     more = scratch.cut(more, "rest")
-    with small_batches(spark, 500):
+    with small_batches(spark, 128):
         found = scratch.cut(_confirmed(more, sets, percent), "rest_links")
     several = linked.groupBy("doc_id").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where(F.col("low") < F.col("high")).select("doc_id")
     bound = linked.join(several, "doc_id").join(classes, ["c1", "c2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where(F.col("a") != F.col("b"))
     all_links = scratch.cut(links.unionByName(found).unionByName(bound), "all_links")
     comps = connected(all_links, scratch, "last")
     of_class = scratch.cut(classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("c1", "c2", F.coalesce("comp", "rep").alias("comp")), "class_components")
+    scratch.drop("classes", "reps", "shared", "buckets", "star", "sets", "star_links", "named", "mixed", "rest", "rest_links", "all_links")
     out = marks.join(of_class, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -28,6 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexmill.llm import textbytes as tb
 from lexmill.llm.sampling import thin, trainable
+from lexmill.llm.store import text_batches
 
 #: Classes of bytes: 0 lower case, 1 upper case, 2 digit, 3 blank, 4 line end, 5 above ASCII, 6 control, 7 on: each mark.
 BYTE_CLASS = np.full(256, 6, np.int64)
@@ -174,6 +175,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, negatives: int = 4000, seed: int = 11) -> Model | None:
     """Train on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").where(trainable(F.col("doc_id")))
     marked = labels.where(trainable(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("kind"))
     chosen = thin(marked, "kind", max(positives, negatives), seed)
@@ -207,6 +209,6 @@ def _scored(shared, at: int):
 def score_documents(docs: DataFrame, model: Model | None, cut: float = 0.7) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if the score reaches ``cut``, else 0)."""
     base = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = text_batches(docs.sparkSession).sparkContext.broadcast(model)
     out = base.mapInArrow(_scored(shared, base.columns.index("text")), StructType([*base.schema.fields, StructField("score", DoubleType())]))
     return out.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))

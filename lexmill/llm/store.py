@@ -34,6 +34,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+TEXT_BATCH = 512
+
+
+def text_batches(spark: SparkSession) -> SparkSession:
+    """Keep the session's Arrow batches to TEXT_BATCH rows: rows here are whole documents, and Spark bounds batches by rows only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, str(TEXT_BATCH))
+    return spark
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of that many rows in what is executed meanwhile, for rows that are large."""

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexmill.llm.bpe import gather
+from lexmill.llm.store import text_batches
 from lexmill.llm.textbytes import STEP, mix, text_bytes
 
 #: Bytes of text encoded together, pieces kept for later texts, pieces in one call.
@@ -269,7 +270,7 @@ def _write(shared, name: str, end_id: int):
 
 def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, parts: int | None = None) -> None:
     """Encode every text of ``docs`` (doc_id, text), append ``end_id``, and write the folder ``path``."""
-    spark = docs.sparkSession
+    spark = text_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
