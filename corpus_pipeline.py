@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the hash of the text that the ids decode to."""
-    out = bpe.decode_documents(bpe.encode_documents(docs, VOCABULARY), VOCABULARY)
+    out = bpe.round_trip(docs, VOCABULARY)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
