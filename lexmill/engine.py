@@ -11,6 +11,7 @@ from pyspark.sql.functions import udtf
 from lexmill.config import SegmentConfig
 from lexmill.operators import dictionary, enrich, lookup, matcher
 from lexmill.operators.matcher import Lexicon, Segmenter
+from lexmill.plans.scratch import written
 from lexmill.sources import readers, settings
 
 
@@ -53,7 +54,7 @@ class Engine:
 
     def everything(self, rows: DataFrame, by: list[str], text: str = "text") -> DataFrame:
         """Words, sub-words, keywords and related terms with byte offsets: see enrich.all_kinds."""
-        return enrich.all_kinds(rows, by, self.unigram, self.config, self.kw, self.synonyms, self.thesaurus_, text)
+        return enrich.all_kinds(rows, by, self.unigram, self.config, self.kw, self.synonyms, self.thesaurus_, text, keep=written)
 
     def thesaurus(self, term: str) -> list[str]:
         if self.thesaurus_ is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -43,18 +45,19 @@ def with_thesaurus(tokens: DataFrame, thesaurus: DataFrame, by: list[str]) -> Da
     return words.unionByName(more)
 
 
-def all_kinds(rows: DataFrame, by: list[str], unigram: DataFrame, config: SegmentConfig, keywords: DataFrame | None = None, synonyms: DataFrame | None = None, thesaurus: DataFrame | None = None, text: str = "text", most: int = 36) -> DataFrame:
+def all_kinds(rows: DataFrame, by: list[str], unigram: DataFrame, config: SegmentConfig, keywords: DataFrame | None = None, synonyms: DataFrame | None = None, thesaurus: DataFrame | None = None, text: str = "text", most: int = 36, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """Rows (by, start_byte, byte_len, surface, kind, is_synonym): words, sub-words (omni), keywords and related terms.
 
     What depends on a run alone is found once for each distinct run; occurrences get it by a join on the run. Synonyms
-    replace single words here. A sub-word equal to a word at the same place is left out, and so is such a keyword.
+    replace single words here. ``keep`` may write tables that are read several times. A sub-word equal to a word at the same place is left out, and so is such a keyword.
     """
     occ = runs.pieces(rows.select(*by, text), config, text)
     size = F.octet_length("piece")
     occ = occ.withColumn("at", F.coalesce(F.sum(size).over(W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    distinct = occ.where(F.col("kind") == "run").select(F.col("piece").alias("run")).distinct()
-    words = relational.segment_runs(distinct, unigram, most, config.lookahead_inclusive, config.compat).select("run", "start", "len", "surface")
-    parts = words.withColumn("kind", F.lit("word")).unionByName(relational.omni(distinct, unigram, most, config.omni, True, config.lookahead_inclusive).withColumn("kind", F.lit("omni")))
+    distinct = keep(occ.where(F.col("kind") == "run").select(F.col("piece").alias("run")).distinct(), "runs")
+    hits = keep(relational.hits(distinct, unigram, most, config.max_term_bytes), "hits")
+    words = keep(relational.words_of(hits, config.lookahead_inclusive, config.compat).select("run", "start", "len", "surface"), "words")
+    parts = words.withColumn("kind", F.lit("word")).unionByName(relational.omni_of(keep(relational.paths(hits, config.lookahead_inclusive), "paths"), config.omni).withColumn("kind", F.lit("omni")))
     if keywords is not None:
         parts = parts.unionByName(relational.keyword_hits(distinct, keywords.where(F.col("freq") > 0), most, words).withColumn("kind", F.lit("keyword")))
     parts = parts.withColumn("skip", F.octet_length(F.substring(F.col("run"), F.lit(1), F.col("start")))).drop("len", "start")

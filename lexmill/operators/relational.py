@@ -76,15 +76,22 @@ def walk(following: DataFrame) -> DataFrame:
     return steps.select("run", F.posexplode(words).alias("nth", "w")).select("run", "nth", F.col("w.start").alias("start"), F.col("w.len").alias("len"))
 
 
+def words_of(at_hits: DataFrame, inclusive: bool = False, compat: bool = False) -> DataFrame:
+    """(run, nth, start, len, surface) of each word of each run, from hits. They are read three times: best a written table."""
+    words = walk(next_words(scored(paths(at_hits, inclusive), compat)))
+    return words.withColumn("surface", F.substring(F.col("run"), F.col("start") + 1, F.col("len")))
+
+
 def segment_runs(runs: DataFrame, dictionary: DataFrame, most: int, inclusive: bool = False, compat: bool = False) -> DataFrame:
     """(run, nth, start, len, surface) of each word of each run."""
-    words = walk(next_words(scored(paths(hits(runs, dictionary, most), inclusive), compat)))
-    return words.withColumn("surface", F.substring(F.col("run"), F.col("start") + 1, F.col("len")))
+    return words_of(hits(runs, dictionary, most), inclusive, compat)
 
 
-def omni(runs: DataFrame, dictionary: DataFrame, most: int, least: int = 2, minus_tokens: bool = True, inclusive: bool = False) -> DataFrame:
-    """(run, start, len, surface): words laid out from any reached position with a score frequency of at least ``least``."""
-    every = paths(hits(runs, dictionary, most), inclusive)
+def omni_of(every: DataFrame, least: int = 2, minus_tokens: bool = True) -> DataFrame:
+    """(run, start, len, surface): words laid out from any reached position with a score frequency of at least ``least``.
+
+    ``every`` holds the paths; it is read twice.
+    """
     tokens = walk(next_words(scored(every)))
     reached = every.join(tokens.select("run", F.col("start").alias("at")), ["run", "at"], "left_semi")
     w1, w2 = F.col("w1"), F.coalesce("w2", F.lit(0))
@@ -95,6 +102,11 @@ def omni(runs: DataFrame, dictionary: DataFrame, most: int, least: int = 2, minu
     return found.withColumn("surface", F.substring(F.col("run"), F.col("start") + 1, F.col("len")))
 
 
+def omni(runs: DataFrame, dictionary: DataFrame, most: int, least: int = 2, minus_tokens: bool = True, inclusive: bool = False) -> DataFrame:
+    """The sub-words of runs: see omni_of."""
+    return omni_of(paths(hits(runs, dictionary, most), inclusive), least, minus_tokens)
+
+
 def keyword_hits(runs: DataFrame, keywords: DataFrame, most: int, tokens: DataFrame | None = None) -> DataFrame:
     """(run, start, len, surface) of keywords at every position, without those that are tokens."""
     at = runs.select("run", F.explode(F.sequence(F.lit(0), F.char_length("run") - 1)).alias("start"))

@@ -1,11 +1,14 @@
-"""Where queries of the engine keep files: the folder that all executors share."""
+"""Where queries of the engine keep files: the folder that all executors share.
+
+A table that a plan reads several times is written once; its readers then share one computation and know its size.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -13,3 +16,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = named.rstrip("/") if named else "file://" + tempfile.gettempdir()
     return f"{root}/lexmill-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, computed once."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
