@@ -48,9 +48,9 @@ class Engine:
         rows = self.spark.createDataFrame([(0, i, t) for i, t in enumerate(tokens)], "doc_id long, pos int, surface string")
         return [r.surface for r in enrich.rewrite_synonyms(rows, self.synonyms, ["doc_id"]).orderBy("pos").collect()]
 
-    def segment_frame(self, rows: DataFrame, text: str = "text") -> DataFrame:
-        """The tokens of a DataFrame's texts, batch or stream."""
-        return matcher.segment(rows, self.lexicon, self.config, text)
+    def segment_frame(self, rows: DataFrame, text: str = "text", details: bool = False) -> DataFrame:
+        """The tokens of a DataFrame's texts, batch or stream; with details their offsets, kinds and chunks."""
+        return matcher.segment(rows, self.lexicon, self.config, text, details)
 
     def everything(self, rows: DataFrame, by: list[str], text: str = "text") -> DataFrame:
         """Words, sub-words, keywords and related terms with byte offsets: see enrich.all_kinds."""

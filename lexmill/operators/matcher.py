@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
@@ -144,6 +144,8 @@ class Segmenter:
         self.lexicon, self.config = lexicon, config
         self.pattern = re.compile(piece_pattern(config.classes, config.merge, config.separate, config.joint))
         self.run_start = re.compile(f"[^\\r\\n{config.classes.any_of('m', 'e', 'w')}]")
+        c = config.classes
+        self.kinds = [(k, re.compile(f"[{body}]")) for k, body in (("separator", c.w), ("number", c.m), ("letter", c.e)) if body]
         self.kept: dict[str, list[int]] = {}
 
     def words(self, run: str) -> list[int]:
@@ -160,6 +162,27 @@ class Segmenter:
             piece = m.group()
             yield piece, self.run_start.match(piece) is not None
 
+    def detailed(self, text: str) -> list[tuple[str, int, int, str, int]]:
+        """(surface, start byte, bytes, kind, chunk) of each token.
+
+        A chunk is a run with the letters or digits, separators or line end that end it; the last token of one ends a
+        stretch within which the matcher looks ahead.
+        """
+        out, at, chunk, before = [], 0, 0, ""
+        for piece, is_run in self.pieces(text):
+            kind = "run" if is_run else next((k for k, r in self.kinds if r.match(piece)), "newline")
+            if before and before != "run" and not (kind == "separator" and before in ("number", "letter")):
+                chunk += 1
+            before = kind
+            words, k = (self.words(piece), 0) if is_run else ([len(piece)], 0)
+            for n in words:
+                t = piece[k : k + n]
+                k += n
+                size = len(t.encode())
+                out.append((t, at, size, "word" if is_run else kind, chunk))
+                at += size
+        return out
+
     def tokens(self, text: str) -> list[str]:
         out = []
         for piece, is_run in self.pieces(text):
@@ -181,36 +204,42 @@ def collect_lexicon(dictionary: DataFrame, max_bytes: int = 36, most: int = MOST
     return Lexicon({r.term: r.freq for r in rows}, max_bytes)
 
 
-def _map_tokens(shared, config: SegmentConfig, at: int):
+DETAILS = [("start_byte", IntegerType(), pa.int32()), ("byte_len", IntegerType(), pa.int32()), ("kind", StringType(), pa.string()), ("chunk", IntegerType(), pa.int32())]
+
+
+def _map_tokens(shared, config: SegmentConfig, at: int, details: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(shared.value, config)
         for batch in batches:
             for step in range(0, batch.num_rows, 500):
                 part = batch.slice(step, 500)
-                surfaces, counts = [], []
-                for x in part.column(at):
-                    got = seg.tokens(x.as_py() or "")
-                    surfaces += got
-                    counts.append(len(got))
-                source = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int64())
-                keep = [c for j, c in enumerate(part.columns) if j != at]
-                pos = pa.array([k for n in counts for k in range(n)], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(c.take(source) for c in keep), pos, pa.array(surfaces, pa.string())], [*(n for j, n in enumerate(part.schema.names) if j != at), "pos", "surface"])
+                found = [(seg.detailed if details else seg.tokens)(x.as_py() or "") for x in part.column(at)]
+                source = pa.array([i for i, got in enumerate(found) for _ in got], pa.int64())
+                pos = pa.array([k for got in found for k in range(len(got))], pa.int32())
+                flat = [t for got in found for t in got]
+                columns = [c.take(source) for j, c in enumerate(part.columns) if j != at] + [pos]
+                if details:
+                    each = list(zip(*flat)) or [()] * 5
+                    columns += [pa.array(each[0], pa.string()), *(pa.array(v, kind) for v, (_, _, kind) in zip(each[1:], DETAILS))]
+                else:
+                    columns.append(pa.array(flat, pa.string()))
+                names = [n for j, n in enumerate(part.schema.names) if j != at] + ["pos", "surface"] + [n for n, _, _ in DETAILS] * details
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def segment(rows: DataFrame, lexicon: Lexicon, config: SegmentConfig = SegmentConfig(), text: str = "text") -> DataFrame:
+def segment(rows: DataFrame, lexicon: Lexicon, config: SegmentConfig = SegmentConfig(), text: str = "text", details: bool = False) -> DataFrame:
     """The other columns of ``rows`` with pos and surface of each token of its text. Works on streams as well.
 
-    Null text has no tokens. Tokens tile the text; line ends and separators are tokens.
+    ``details`` adds start_byte, byte_len, kind and chunk. Null text has no tokens. Tokens tile the text; line ends and
+    separators are tokens.
     """
-    spark: SparkSession = rows.sparkSession
-    base = rows.drop("pos", "surface")
-    shared = spark.sparkContext.broadcast(lexicon)
-
-    schema = StructType([*(f for f in base.schema.fields if f.name != text), StructField("pos", IntegerType()), StructField("surface", StringType())])
-    return base.mapInArrow(_map_tokens(shared, config, base.columns.index(text)), schema)
+    base = rows.drop("pos", "surface", *[n for n, _, _ in DETAILS] * details)
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+    more = [StructField(n, kind) for n, kind, _ in DETAILS] if details else []
+    schema = StructType([*(f for f in base.schema.fields if f.name != text), StructField("pos", IntegerType()), StructField("surface", StringType()), *more])
+    return base.mapInArrow(_map_tokens(shared, config, base.columns.index(text), details), schema)
 
 
 def with_offsets(tokens: DataFrame, by: list[str]) -> DataFrame:

@@ -341,8 +341,8 @@ def segment_arrow(spark, sf_dir):
 @query(with_(LEX, runs_sql("benchmark"), HITS, PATHS, NEXT, WALK, f"pc AS (SELECT item_id, unnest(regexp_extract_all(lower(text), {quoted(piece_pattern(WORDS.classes))})) AS piece, generate_subscripts(regexp_extract_all(lower(text), {quoted(piece_pattern(WORDS.classes))}), 1) AS k FROM benchmark)", """tk AS (SELECT item_id, k, coalesce(w.nth, 0) AS nth, CASE WHEN w.run IS NULL THEN piece ELSE substring(piece, w.pt + 1, w.word) END AS surface FROM pc LEFT JOIN walk w ON w.run = pc.piece)""", recursive=True) + """SELECT item_id, CAST(row_number() OVER o - 1 AS BIGINT) AS pos, surface, CAST(strlen(surface) AS BIGINT) AS byte_len, CAST(sum(strlen(surface)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_byte,
 CAST(sum(strlen(surface)) OVER (o ROWS UNBOUNDED PRECEDING) - strlen(surface) AS BIGINT) AS start_byte FROM tk WINDOW o AS (PARTITION BY item_id ORDER BY k, nth)""")
 def token_offsets(spark, sf_dir):
-    tokens = matcher.segment(lowered(spark, sf_dir, "benchmark").select("item_id", "text"), matcher.collect_lexicon(lex(spark, sf_dir)), WORDS)
-    return matcher.with_offsets(tokens, ["item_id"])
+    tokens = matcher.segment(lowered(spark, sf_dir, "benchmark").select("item_id", "text"), matcher.collect_lexicon(lex(spark, sf_dir)), WORDS, details=True)
+    return tokens.select("item_id", "pos", "surface", "byte_len", (F.col("start_byte") + F.col("byte_len")).alias("end_byte"), "start_byte")
 
 
 @query(with_(LEX, runs_sql("benchmark"), HITS, PATHS, NEXT, WALK, "rp AS (SELECT s.* FROM s JOIN walk w ON w.run = s.run AND w.pt = s.pt)", """laid AS (SELECT run, pt AS start, w1 AS len, f1 AS f FROM rp UNION ALL SELECT run, pt + w1, w2, f2 FROM rp WHERE w2 IS NOT NULL UNION ALL SELECT run, pt + w1 + w2, w3, f3 FROM rp WHERE w3 IS NOT NULL)""", recursive=True) + """SELECT DISTINCT l.run, CAST(l.start AS BIGINT) AS start, CAST(l.len AS BIGINT) AS len, substring(l.run, l.start + 1, l.len) AS surface FROM laid l LEFT JOIN walk w ON w.run = l.run AND w.pt = l.start AND w.word = l.len WHERE l.f >= 2 AND w.run IS NULL""")

@@ -46,3 +46,18 @@ def timed(report=print) -> Iterator[None]:
     start = time.monotonic()
     yield
     report(f"Took: {(time.monotonic() - start) * 1000:.0f} ms.")
+
+
+def unigram_records(dictionary: DataFrame) -> DataFrame:
+    """(value): the two-line text record of each term, as ``sources.readers.read_unigrams`` takes it."""
+    return dictionary.select(F.concat("term", F.lit("\t"), F.col("freq").cast("string"), F.lit("\nx:"), F.col("freq").cast("string")).alias("value"))
+
+
+def thesaurus_records(thesaurus: DataFrame) -> DataFrame:
+    """(value): the two-line text record of each term and its related terms."""
+    return thesaurus.select(F.concat("term", F.lit("\n-"), F.array_join("related", ","), F.lit(",")).alias("value"))
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """One text file in order of the records; dictionaries are small, and their text form is a single file."""
+    records.orderBy("value").coalesce(1).write.mode("overwrite").text(path)

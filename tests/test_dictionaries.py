@@ -121,6 +121,19 @@ def folder(spark, tmp_path):
     return tmp_path
 
 
+def test_records_round_trip(spark, tmp_path):
+    d = spark.createDataFrame([("中国", 3), ("b", 1)], "term string, freq int")
+    sinks.write_records(sinks.unigram_records(d), str(tmp_path / "u"))
+    assert rows(readers.read_unigrams(spark, str(tmp_path / "u"))) == [("b", 1), ("中国", 3)]
+    t = spark.createDataFrame([("k", ["x", "y"]), ("a", ["z"])], "term string, related array<string>")
+    sinks.write_records(sinks.thesaurus_records(t), str(tmp_path / "t"))
+    assert sorted((r.term, r.related) for r in readers.read_thesaurus(spark, str(tmp_path / "t")).collect()) == [("a", ["z"]), ("k", ["x", "y"])]
+    sinks.write_text(sinks.marked_text(spark.createDataFrame([(1, 0, "x")], "doc_id long, pos int, surface string"), ["doc_id"]), str(tmp_path / "m"))
+    assert spark.read.text(str(tmp_path / "m")).first().value == "x/x "
+    wide = spark.createDataFrame([("中",)], "s string").select(sinks.encoded(F.col("s")), sinks.encoded(F.col("s"), "UTF-8")).first()
+    assert bytes(wide[0]).decode("utf-16") == "中" and bytes(wide[1]) == "\ufeff中".encode()
+
+
 def test_engine(spark, folder):
     e = Engine.load(spark, str(folder / "d"))
     assert e.segment("中国人上海市x1") == ["中国人", "沪", "x", "1"]

@@ -131,6 +131,8 @@ def test_arrow_form_keeps_columns_and_repartitions(spark):
     for n in (1, 3):
         got = matcher.segment(rows.repartition(n), lexicon)
         assert sorted((r.doc_id, r.note, r.pos, r.surface) for r in got.collect()) == want
+    detailed = matcher.segment(rows, lexicon, details=True).orderBy("pos").collect()
+    assert [(r.surface, r.start_byte, r.byte_len, r.kind, r.chunk) for r in detailed] == [("中国人", 0, 9, "word", 0), ("上海市", 9, 9, "word", 0), (",", 18, 1, "separator", 0), (" ", 19, 1, "word", 1), ("ab", 20, 2, "letter", 1), ("12", 22, 2, "number", 2), ("\n", 24, 1, "newline", 3)]
     offsets = matcher.with_offsets(matcher.segment(rows, lexicon), ["doc_id"]).orderBy("pos").collect()
     assert [(r.start_byte, r.end_byte) for r in offsets][:3] == [(0, 9), (9, 18), (18, 19)]
 
