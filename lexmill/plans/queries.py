@@ -13,6 +13,7 @@ from lexmill.functions import text as tx
 from lexmill.functions.classes import FOLD_FROM, FOLD_TO, fold, letters_as_words, me_pattern, piece_pattern
 from lexmill.operators import dictionary, enrich, lookup, matcher, relational, runs
 from lexmill.plans.scratch import shared_folder, written
+from lexmill.session import spread
 from lexmill.sources import readers
 from lexmill.streaming.segment import segment_folder
 
@@ -42,7 +43,7 @@ def longs(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
