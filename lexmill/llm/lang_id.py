@@ -193,7 +193,6 @@ class Predictor:
 
     def reset(self) -> None:
         self.known, self.sums, self.counts = _Numbered(), np.zeros((0, len(self.net.langs))), np.zeros(0, np.int64)
-        self.runs: dict[str, tuple[int, ...]] = {}
 
     def numbers(self, text: str) -> np.ndarray:
         out = []
@@ -272,7 +271,7 @@ def _sampled(windows: int):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = text.as_py() or ""
                 rng = np.random.default_rng(zlib.crc32(s.encode()))
-                cut = int(rng.integers(0, max(1, len(s) - (1 << 16)) )) if len(s) > 1 << 16 else 0
+                cut = int(rng.integers(0, len(s) - (1 << 16))) if len(s) > 1 << 16 else 0
                 found = [w for w in windows_of(s[cut : cut + (1 << 16)]) if LETTER[np.frombuffer(w, np.uint8)].any()]
                 pick = rng.permutation(len(found))[:windows]
                 langs += [lang] * len(pick)
