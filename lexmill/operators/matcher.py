@@ -32,31 +32,31 @@ MOST_TERMS = 2_000_000
 
 @dataclass
 class Lexicon:
-    """Term frequencies with the lengths that terms of each first character have, longest first."""
+    """Term frequencies, with the lengths that terms of each two first characters have."""
 
     freq: dict[str, int]
     max_bytes: int = 36
     lengths: dict[str, list[int]] = field(default_factory=dict)
 
     def __post_init__(self):
+        self.freq = {t: f for t, f in self.freq.items() if t and len(t.encode()) <= self.max_bytes}
         found: dict[str, set[int]] = {}
         for t in self.freq:
-            if len(t.encode()) <= self.max_bytes:
-                found.setdefault(t[0], set()).add(len(t))
+            if len(t) > 1:
+                found.setdefault(t[:2], set()).add(len(t))
         self.lengths = {c: sorted(n) for c, n in found.items()}
 
     def hits(self, run: str, at: int) -> tuple[list[int], int]:
         """Ascending character lengths of the terms at a position, a single character always among them; the longest's frequency."""
-        out, last = [1], 1
+        out, last = [1], self.freq.get(run[at], 1)
         left = len(run) - at
-        for n in self.lengths.get(run[at], ()):
+        for n in self.lengths.get(run[at : at + 2], ()):
             if n > left:
                 break
             f = self.freq.get(run[at : at + n])
             if f is not None:
                 last = f
-                if n > 1:
-                    out.append(n)
+                out.append(n)
         return out, last
 
 
@@ -81,21 +81,54 @@ def paths(run: str, base: int, hits: Callable[[int], tuple[list[int], int]], inc
             yield [one, two, (third[-1], f3 if len(third) == 1 else 1)]
 
 
+def _score(freqs: tuple[int, ...], compat: bool) -> float:
+    return round(sum(math.log((f & 0xFFFF if compat else f) + 1) for f in freqs), 9)
+
+
 def best_word(run: str, base: int, offsets: list[int], hits, inclusive: bool = False, compat: bool = False) -> int:
-    """The length of the word that the winning path from ``base`` starts with."""
-    best, word = None, 1
-    for path in paths(run, base, hits, inclusive):
-        at, sizes = base, []
-        for n, _ in path:
-            sizes.append(offsets[at + n] - offsets[at])
-            at += n
-        total = offsets[at] - offsets[base]
-        if best is not None and total < best[0]:
+    """The length of the word that the winning path from ``base`` starts with.
+
+    It goes through ``paths`` in their order, without building them; scores are only worked out where all else ties.
+    """
+    first, f1 = hits(base)
+    if len(first) == 1:
+        return first[0]
+    end, b0 = len(run) - (0 if inclusive else 1), offsets[base]
+    best, best_freqs, best_score, word = (-1, 0, 0), (), None, 1
+
+    def better(key: tuple[int, int, int], freqs: tuple[int, ...]) -> bool:
+        nonlocal best, best_freqs, best_score
+        if key < best:
+            return False
+        score = None
+        if key == best:
+            if best_score is None:
+                best_score = _score(best_freqs, compat)
+            score = _score(freqs, compat)
+            if score <= best_score:
+                return False
+        best, best_freqs, best_score = key, freqs, score
+        return True
+
+    for i, w1 in enumerate(first):
+        q, g1 = base + w1, f1 if i == 0 else 0
+        b1 = offsets[q] - b0
+        if q >= end:
+            if better((b1, -1, -b1 * b1), (g1,)):
+                word = w1
             continue
-        score = round(sum(math.log((f & 0xFFFF if compat else f) + 1) for _, f in path), 9)
-        key = (total, -len(path), -sum(s * s for s in sizes), score)
-        if best is None or key > best:
-            best, word = key, path[0][0]
+        second, f2 = hits(q)
+        for j, w2 in enumerate(second):
+            r, g2 = q + w2, f2 if j == 0 else 1
+            b2 = offsets[r] - b0 - b1
+            if r >= end:
+                if b1 + b2 >= best[0] and better((b1 + b2, -2, -b1 * b1 - b2 * b2), (g1, g2)):
+                    word = w1
+                continue
+            third, f3 = hits(r)
+            b3 = offsets[r + third[-1]] - b0 - b1 - b2
+            if b1 + b2 + b3 >= best[0] and better((b1 + b2 + b3, -3, -b1 * b1 - b2 * b2 - b3 * b3), (g1, g2, f3 if len(third) == 1 else 1)):
+                word = w1
     return word
 
 
@@ -144,23 +177,31 @@ class Segmenter:
         self.lexicon, self.config = lexicon, config
         self.pattern = re.compile(piece_pattern(config.classes, config.merge, config.separate, config.joint))
         self.run_start = re.compile(f"[^\\r\\n{config.classes.any_of('m', 'e', 'w')}]")
+        self.starts_run: dict[str, bool] = {}
         c = config.classes
         self.kinds = [(k, re.compile(f"[{body}]")) for k, body in (("separator", c.w), ("number", c.m), ("letter", c.e)) if body]
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, list[str]] = {}
 
-    def words(self, run: str) -> list[int]:
+    def words(self, run: str) -> list[str]:
         got = self.kept.get(run)
         if got is None:
             if len(self.kept) >= self.KEPT:
                 self.kept.clear()
-            got = self.kept[run] = segment_run(run, self.lexicon, self.config.lookahead_inclusive, self.config.compat)
+            got, at = [], 0
+            for n in segment_run(run, self.lexicon, self.config.lookahead_inclusive, self.config.compat):
+                got.append(run[at : at + n])
+                at += n
+            self.kept[run] = got
         return got
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """(piece, whether it is a run of ordinary characters)."""
         for m in self.pattern.finditer(text.split("\0", 1)[0].removeprefix("﻿")):
             piece = m.group()
-            yield piece, self.run_start.match(piece) is not None
+            is_run = self.starts_run.get(piece[0])
+            if is_run is None:
+                is_run = self.starts_run[piece[0]] = self.run_start.match(piece) is not None
+            yield piece, is_run
 
     def detailed(self, text: str) -> list[tuple[str, int, int, str, int]]:
         """(surface, start byte, bytes, kind, chunk) of each token.
@@ -174,23 +215,17 @@ class Segmenter:
             if before and before != "run" and not (kind == "separator" and before in ("number", "letter")):
                 chunk += 1
             before = kind
-            words, k = (self.words(piece), 0) if is_run else ([len(piece)], 0)
-            for n in words:
-                t = piece[k : k + n]
-                k += n
+            for t in self.words(piece) if is_run else [piece]:
                 size = len(t.encode())
                 out.append((t, at, size, "word" if is_run else kind, chunk))
                 at += size
         return out
 
     def tokens(self, text: str) -> list[str]:
-        out = []
+        out: list[str] = []
         for piece, is_run in self.pieces(text):
             if is_run and len(piece) > 1:
-                at = 0
-                for n in self.words(piece):
-                    out.append(piece[at : at + n])
-                    at += n
+                out.extend(self.words(piece))
             else:
                 out.append(piece)
         return out

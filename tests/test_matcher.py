@@ -158,3 +158,20 @@ def test_omni_and_keywords(spark):
 def test_profiles():
     assert Segmenter(Lexicon({}), SegmentConfig(classes=letters_as_words())).tokens("ab c") == ["a", "b", " ", "c"]
     assert Segmenter(Lexicon({}), SegmentConfig(classes=default_classes(cjk_numerals=False))).tokens("三z9") == ["三", "z", "9"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcé中", min_size=1, max_size=10), st.dictionaries(st.text("abcé中", min_size=1, max_size=4), st.integers(0, 70_000), max_size=14), st.booleans(), st.booleans())
+def test_best_word_is_the_best_of_all_paths(text, terms, inclusive, compat):
+    lexicon = Lexicon(terms)
+    hits = lambda at: lexicon.hits(text, at)
+    offsets = [len(text[:i].encode()) for i in range(len(text) + 1)]
+    for base in range(len(text)):
+        keyed = []
+        for n, path in enumerate(matcher.paths(text, base, hits, inclusive)):
+            at, sizes = base, []
+            for w, _ in path:
+                sizes.append(offsets[at + w] - offsets[at])
+                at += w
+            keyed.append((sum(sizes), -len(path), -sum(x * x for x in sizes), matcher._score(tuple(f for _, f in path), compat), -n, path[0][0]))
+        assert matcher.best_word(text, base, offsets, hits, inclusive, compat) == max(keyed)[-1]
