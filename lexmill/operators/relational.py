@@ -20,17 +20,28 @@ def hits(runs: DataFrame, dictionary: DataFrame, most: int, max_bytes: int = 36)
     return every.groupBy("run", "at").agg(F.array_sort(F.collect_set("len")).alias("lens"), F.coalesce(F.max_by("freq", F.when(F.col("freq").isNotNull(), F.col("len"))), F.lit(1)).alias("f"))
 
 
+#: Positions that a path of three words may look at: two words of at most 36 characters, and the place after them.
+REACH = 73
+
+
 def paths(at_hits: DataFrame, inclusive: bool = False) -> DataFrame:
-    """(run, at, i, j, w1, w2, w3, f1, f2, f3): every path of up to three words from every position."""
+    """(run, at, i, j, w1, w2, w3, f1, f2, f3): every path of up to three words from every position.
+
+    A run's hits are gathered once, and each position gets the stretch of them that its paths can reach; so one shuffle
+    by run serves the paths, the rules and the walk. Runs are pieces between separators; ones of tens of thousands of
+    characters are for the Arrow form.
+    """
     end = F.char_length("run") - (0 if inclusive else 1)
-    side = lambda n: at_hits.select(F.col("run").alias(f"r{n}"), F.col("at").alias(f"a{n}"), F.col("lens").alias(f"l{n}"), F.col("f").alias(f"g{n}"))
-    one = at_hits.select("run", "at", "f", F.posexplode("lens").alias("i", "w1")).withColumn("f1", F.when(F.col("i") == 0, F.col("f")).otherwise(0)).drop("f")
-    one = one.withColumn("q", F.col("at") + F.col("w1"))
-    two = one.join(side(2), (F.col("run") == F.col("r2")) & (F.col("q") == F.col("a2")) & (F.col("q") < end), "left")
-    two = two.select("run", "at", "i", "w1", "f1", "q", "g2", F.posexplode_outer("l2").alias("j", "w2"))
-    two = two.withColumn("f2", F.when(F.col("j") == 0, F.col("g2")).when(F.col("j") > 0, F.lit(1))).withColumn("r", F.col("q") + F.col("w2"))
-    three = two.join(side(3), (F.col("run") == F.col("r3")) & (F.col("r") == F.col("a3")) & (F.col("r") < end), "left")
-    three = three.withColumn("w3", F.array_max("l3")).withColumn("f3", F.when(F.size("l3") == 1, F.col("g3")).when(F.size("l3") > 1, F.lit(1)))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "lens", "f")))
+    runs = at_hits.groupBy("run").agg(F.transform(in_order, lambda h: F.struct(h["lens"].alias("lens"), h["f"].alias("f"))).alias("h"))
+    ahead = F.transform(F.sequence(F.lit(1), F.size("h")), lambda i: F.slice("h", i, F.lit(REACH)))
+    one = runs.select("run", F.posexplode(ahead).alias("at", "near")).withColumn("h1", F.get("near", F.lit(0)))
+    one = one.select("run", "at", "near", "h1", F.posexplode("h1.lens").alias("i", "w1")).withColumn("f1", F.when(F.col("i") == 0, F.col("h1.f")).otherwise(0))
+    one = one.withColumn("h2", F.when(F.col("at") + F.col("w1") < end, F.get("near", F.col("w1"))))
+    two = one.select("run", "at", "near", "i", "w1", "f1", "h2", F.posexplode_outer("h2.lens").alias("j", "w2"))
+    two = two.withColumn("f2", F.when(F.col("j") == 0, F.col("h2.f")).when(F.col("j") > 0, F.lit(1)))
+    two = two.withColumn("h3", F.when(F.col("at") + F.col("w1") + F.col("w2") < end, F.get("near", F.col("w1") + F.col("w2"))))
+    three = two.withColumn("w3", F.array_max("h3.lens")).withColumn("f3", F.when(F.size("h3.lens") == 1, F.col("h3.f")).when(F.size("h3.lens") > 1, F.lit(1)))
     return three.select("run", "at", "i", F.coalesce("j", F.lit(0)).alias("j"), "w1", "w2", "w3", "f1", "f2", "f3")
 
 
