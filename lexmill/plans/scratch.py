@@ -5,17 +5,41 @@ A table that a plan reads several times is written once; its readers then share
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear() -> None:
+    """Delete the folders of past queries. Call it once their results have been read; it also runs at exit."""
+    while _LEFT:
+        spark, folder = _LEFT.pop()
+        try:
+            delete(spark, folder)
+        except Exception:  # the session has ended; the cluster's own cleaning of the folder takes over
+            pass
+
+
+atexit.register(clear)
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; where that is unset, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = named.rstrip("/") if named else "file://" + tempfile.gettempdir()
-    return f"{root}/lexmill-{label}-{uuid.uuid4().hex}"
+    folder = f"{root}/lexmill-{label}-{uuid.uuid4().hex}"
+    _LEFT.append((spark, folder))
+    return folder
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
