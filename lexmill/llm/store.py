@@ -6,33 +6,14 @@ Tables are Parquet written by Spark's committer, so a lost executor costs a task
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-_LEFT: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="lexmill-"))
-    return _OWN[0]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+from lexmill.plans.scratch import clear, delete, shared_folder
 
+__all__ = ["Scratch", "clear", "small_batches", "text_batches"]
 
 TEXT_BATCH = 512
 
@@ -61,8 +42,7 @@ class Scratch:
     """Tables of one operator run. ``cut`` writes and rereads one, which ends its lineage; ``drop`` deletes one early."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
-        _LEFT.append((spark, self.root))
+        self.spark, self.root = spark, shared_folder(spark, label)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -71,17 +51,4 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _delete(self.spark, f"{self.root}/{name}")
-
-
-def clear() -> None:
-    """Delete what past runs left. Call it once their results have been written."""
-    while _LEFT:
-        spark, root = _LEFT.pop()
-        try:
-            _delete(spark, root)
-        except Exception:  # the session has ended; its cluster's own cleaning of the folder takes over
-            pass
-
-
-atexit.register(clear)
+            delete(self.spark, f"{self.root}/{name}")
