@@ -112,6 +112,7 @@ class PieceEncoder:
         self.closes = np.zeros(self.size, bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.marks = {",": 1, ".": 2}
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # entry 0 of ids, lens and uses is the end of a text, entry k + 1 is piece k of known
         self.known, self.ids, self.lens, self.uses = pa.array([], pa.large_string()), np.array([end_id], np.uint32), np.ones(1, np.int64), np.ones(1, np.int64)
 
@@ -158,8 +159,9 @@ class PieceEncoder:
     def _settle(self, new: pa.Array) -> None:
         """Encode new pieces and add them to the known ones.
 
-        The vocabulary lower-cases, so ASCII pieces are encoded in lower case; a comma or full stop after a letter is a
-        word of its own, so it is split off. What is left is often known or shared by several new pieces.
+        The vocabulary lower-cases, so ASCII pieces are encoded in lower case, but for those that hold an added token's
+        string in any case: added tokens are matched before. A comma or full stop after a letter is a word of its own, so
+        it is split off. What is left is often known or shared by several new pieces.
         """
         if not len(new):
             return
@@ -167,7 +169,9 @@ class PieceEncoder:
         bases: dict[str, int] = {}
         source, tail = np.empty(len(new), np.int64), np.zeros(len(new), np.int64)
         for i, p in enumerate(new.to_pylist()):
-            q = p.lower() if p.isascii() else p
+            q = p.lower()
+            if not p.isascii() or any(x in q for x in self.added):
+                q = p
             if len(q) > 1 and q[-1] in self.marks and q[-2].lower().isalpha():
                 tail[i] = self.marks[q[-1]]
                 q = q[:-1]

@@ -85,6 +85,18 @@ def test_pieces_equal_the_library(libraries, texts):
     assert ids == [libraries[1].encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
 
 
+MARKERS = st.sampled_from(["<|endoftext|>", "<|startoftext|>"]).flatmap(lambda m: st.tuples(*[st.sampled_from([c, c.upper()]) for c in m]).map("".join))
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.lists(st.one_of(ODD, MARKERS, st.sampled_from(["Word,", "<|ENDOFTEXT|>", "<|EndOfText|>,", "<|STARTOFTEXT|>x."])), max_size=4).map("".join), min_size=1, max_size=6))
+def test_pieces_with_markers_in_any_case_equal_the_library(libraries, texts):
+    e = tf.PieceEncoder(open(WORD).read(), 2)
+    entries, n = e.encode(pa.array(texts, pa.string()))
+    ids = [tf.gather(e.ids, np.cumsum(e.lens) - e.lens, e.lens, x).tolist() for x in np.split(entries, np.cumsum(n)[:-1])]
+    assert ids == [libraries[1].encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1)), max_size=200))
 def test_index_is_minimal_and_perfect(ids):
