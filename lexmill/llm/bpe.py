@@ -152,7 +152,10 @@ class _Numbered(dict):
 
 
 class Encoder:
-    """A worker's encoder. Encoded pre-tokens stay as Arrow arrays, a few bytes each, up to KEPT of the most used."""
+    """A worker's encoder. Encoded pre-tokens stay as Arrow arrays, a few bytes each, up to KEPT of the most used.
+
+    The added tokens are the first entries and always stay: merging their bytes would not give their ids.
+    """
 
     def __init__(self, tables: Tables):
         self.t, self.rx = tables, regex.compile(PATTERN)
@@ -160,7 +163,7 @@ class Encoder:
         self.known = pa.array(list(tables.special), pa.large_string())
         self.ids = np.array(list(tables.special.values()), np.int32)
         self.lens = np.ones(len(self.ids), np.int64)
-        self.uses = np.full(len(self.ids), 1 << 40, np.int64)
+        self.uses = np.zeros(len(self.ids), np.int64)
         self.slab = _Numbered()
 
     def numbers(self, text: str) -> np.ndarray:
@@ -211,7 +214,7 @@ class Encoder:
             least = 2
             while (self.uses >= least).sum() > KEPT // 2:
                 least *= 2
-            keep = np.flatnonzero(self.uses >= least)
+            keep = np.flatnonzero((self.uses >= least) | (np.arange(len(self.uses)) < len(self.t.special)))
             self.ids, self.known = gather(self.ids, offs, self.lens, keep), self.known.take(pa.array(keep))
             self.lens, self.uses = self.lens[keep], self.uses[keep] // 2
 

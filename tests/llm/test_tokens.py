@@ -51,6 +51,15 @@ def test_bpe_forgets_and_goes_on(libraries, monkeypatch):
     assert len(e.lens) < 200
 
 
+def test_bpe_keeps_added_tokens(libraries, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 20)
+    e, t = bpe.Encoder(bpe.Tables(BYTE)), "a<|endoftext|>b"
+    for k in range(60):
+        list(e.encode([e.numbers(" ".join(f"word{k}x{i}" for i in range(40)))]))
+    assert len(e.lens) < 100
+    assert next(e.encode([e.numbers(t)]))[1].tolist() == libraries[0].encode(t, add_special_tokens=False).ids
+
+
 def test_merges_of_equal_symbols_overlap_left_first(encoder, libraries):
     for t in ("a" * 7, "!" * 33, "00000 0000", "ababababa"):
         ids, lens = bpe.merge_all([t.encode()], encoder.t)
