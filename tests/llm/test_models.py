@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -93,6 +94,25 @@ def test_odd_sketches_estimate():
         assert share < 0.86 or z <= near_dedup.most_odd(0.85)
 
 
+def sketch_misses(similarity, limit):
+    """The probability that the sketches of a pair show more than ``limit`` odd bits, for ideal samples."""
+    k, b = near_dedup.SAMPLES, near_dedup.SKETCH_BITS
+    odd, at = np.arange(b + 1), np.eye(1, b + 1)[0]
+    differ, total = (1 - similarity) ** np.arange(k + 1) * similarity ** np.arange(k, -1, -1.0) * [float(math.comb(k, u)) for u in range(k + 1)], 0.0
+    for u in range(k + 1):
+        total += differ[u] * at[limit + 1 :].sum()
+        for _ in range(2):  # a sample that differs flips a bit of each sketch
+            at = np.append(0, at[:-1] * (1 - odd[:-1] / b)) + np.append(at[1:] * odd[1:] / b, 0)
+    return total
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_sketches_miss_less_than_bands(threshold):
+    for similarity in (threshold, threshold + 0.005, threshold + 0.02):
+        bands = (1 - similarity**near_dedup.ROWS) ** near_dedup.BANDS
+        assert sketch_misses(similarity, near_dedup.most_odd(threshold)) < bands
+
+
 def test_connected(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2500)] + [(5, 5)]
