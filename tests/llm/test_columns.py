@@ -6,6 +6,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.cases import ROWS, SHARED, documents
 from tests.test_queries import same
 
@@ -48,6 +49,35 @@ def test_lines_use_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_first_lines_stream_sorted_ranges(spark):
+    rows = spark.range(900).selectExpr("id % 7 AS h", "id % 7 AS c", "id % 5 AS doc_id", "CAST(id % 3 AS SHORT) AS salt", "CAST(id AS INT) AS pos")
+    first = line_dedup.first_lines(rows, 4)
+    got = {(r.h, r.doc_id, r.salt): r.pos for r in first.collect()}
+    assert got == {(i % 7, i % 5, i % 3): i for i in range(105)} and first.count() == 105
+    plan = first.groupBy("h", "c", "doc_id").count()._jdf.queryExecution().executedPlan().toString()
+    # nothing but the order itself stands between the ranges and the window that reads them
+    assert re.search(r"Window \[row_number[^\n]*\n[^\n]*WindowGroupLimit[^\n]*\n[^\n]*Sort \[h[^\n]*doc_id[^\n]*pos[^\n]*\n[^\n]*Exchange rangepartitioning", plan)
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_lines_of_a_hot_document(spark, hot):
+    rows = [(hot, f"{SHARED}\nrow {i % 3}", "en", "a") for i in range(300)] + [(100 + i, f"own {i}\n{SHARED if i % 40 == 0 else ''}", "en", "a") for i in range(600)]
+    got = line_dedup.dedup_lines(documents(spark, rows).repartition(6), partitions=5)
+    assert sorted(map(repr, (tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "kept_text").collect()))) == sorted(map(repr, brute_lines(rows)))
+
+
+def test_lines_with_a_full_bit_array(spark):
+    docs = documents(spark).cache()
+    bitmaps = line_dedup.keep_bitmaps(docs).cache()
+    want = sorted(map(repr, line_dedup.apply_bitmaps(docs, bitmaps).collect()))
+    rows = docs.withColumn("text_hash__", F.xxhash64("text"))
+    assert sum(r.may__ for r in line_dedup._affected(rows, bitmaps, 1 << 20).collect()) == bitmaps.count()
+    every = bitmaps.select("doc_id", "text_hash", "keep_gaps").unionByName(spark.range(200_000).selectExpr("-id - 1 AS doc_id", "id AS text_hash", "array(0) AS keep_gaps"))
+    assert sorted(map(repr, line_dedup.apply_bitmaps(docs, every, 1 << 15).collect())) == want
+    docs.unpersist()
+    bitmaps.unpersist()
+
+
 def water(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: float(weights[i % 3]) for i, s in enumerate(names)}
