@@ -7,21 +7,26 @@ target to the word.
 
 The order within a source is never gathered in one task. Keys fall into fixed buckets by value, sizes are summed by
 (source, bucket) with map-side combining, and the prefix sum over buckets shows in which bucket the budget ends: buckets
-before it are taken, those after it are not, and only that one bucket is sorted row by row. A source that holds a third
-of all rows so sorts 1 / ``buckets`` of them.
+before it are taken, those after it are not, and only that one bucket is sorted. There, rows alike in key, doc_id and
+text are one entry of the order (summed with map-side combining), and in the one entry that the budget cuts, rows are
+numbered by task, so neither a source nor a document that holds a third of all rows meets in one task.
+
+The mix itself works on the rows where they are: a row's key tells whether it is taken, so only the rows of the edge
+buckets are shuffled with their texts.
 
 Target shares: sources in ascending code point order, null last, get the weights in rotation; targets stop at
 ``max_epochs`` times the source's size and the excess goes to the others by weight, which is one water level found from
 sorted ratios. The table of sources (a row each, a mixing configuration) is the only thing ordered as a whole.
 
 Defined cases: null text has size 0; a document of size 0 is taken 0 words; a null source is a source of its own, and a
-null doc_id draws a key like any other id; rows alike in doc_id and text tie and are interchangeable; an empty table
-gives an empty result; columns with clashing names give way to the operator's own.
+null doc_id draws a key like any other id; rows alike in doc_id and text tie, are interchangeable and are each taken on
+their own; a null or NaN quality counts as 0, others are kept within 0 and 1; an empty table gives an empty result;
+columns with clashing names give way to the operator's own in the plan and stay as they are in the mix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -32,14 +37,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 MARKS = "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"
 
 
-def measured(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, text_hash, source, size in words, weight and Efraimidis-Spirakis key of each row."""
-    text = F.coalesce("text", F.lit(""))
+def marks_weight(text: Column) -> Column:
+    """A document's quality weight where nothing better is known: lower the more marks it holds."""
     marks = F.char_length(text) - F.char_length(F.translate(text, MARKS, ""))
-    weight = 1.0 / (1.0 + 20.0 * marks / (F.char_length(text) + 1.0))
+    return 1.0 / (1.0 + 20.0 * marks / (F.char_length(text) + 1.0))
+
+
+def measured(docs: DataFrame, seed: str = "mix", quality: str | None = None, buckets: int = 4096) -> dict[str, Column]:
+    """text_hash, size in words, weight, Efraimidis-Spirakis key and its bucket, of a row of ``docs``.
+
+    The weight is that of ``marks_weight``, or comes from the column ``quality`` (0 to 1).
+    """
+    text = F.coalesce("text", F.lit(""))
+    known = None if quality is None else F.col(quality).cast("double")
+    weight = marks_weight(text) if known is None else 0.01 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(known, F.lit(0.0)), F.lit(0.0))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double")
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), weight.alias("weight"), ((draw + 0.5) / float(1 << 52)).alias("u"))
-    return base.withColumn("key", -F.log("u") / F.col("weight")).drop("u")
+    key = -F.log((draw + 0.5) / float(1 << 52)) / weight
+    return {"text_hash": F.xxhash64("text"), "size": F.regexp_count(text, F.lit(WORD)).cast("long"), "key": key, "bucket": F.floor(key / (1.0 + key) * buckets).cast("int")}
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -56,45 +70,89 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     return s.select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("w"))).alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, buckets: int = 4096, seed: str = "mix") -> DataFrame:
-    """doc_id, text_hash, source, size, source_size, target, key, epochs and taken (words) of each row."""
-    scratch = Scratch(docs.sparkSession, "mix")
-    base = scratch.cut(measured(docs, seed).withColumn("bucket", F.floor(F.col("key") / (1.0 + F.col("key")) * buckets).cast("int")), "base")
+def _same(a: str, b: str, *columns: str) -> Column:
+    """Whether the aliases' sources are equal or both null, and so are the other columns."""
+    out = F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    for x in columns:
+        out = out & F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}"))
+    return out
+
+
+def _budgets(base: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """A row a source: source_size, target, epochs, rest (words beyond them), and where in its buckets the rest ends.
+
+    ``edge`` is the bucket that the end cuts, with the words ``before`` it; ``last_full`` the last bucket before it.
+    """
     binned = scratch.cut(base.groupBy("source", "bucket").agg(F.sum("size").alias("bin_size")), "bins")
     want = targets(binned.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, max_epochs)
     want = want.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     want = scratch.cut(want.withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")), "targets")
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    edges = binned.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
-    same = lambda a, b, *c: [F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")), *[F.col(f"{a}.{x}") == F.col(f"{b}.{x}") for x in c]]
-    edges = edges.alias("e").join(want.alias("t"), same("e", "t")).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bin_size") > F.col("rest")))
-    edges = edges.select("e.source", F.col("e.bucket").alias("edge"), "before")
-    want = want.alias("t").join(edges.alias("e"), same("t", "e"), "left").select("t.*", "edge", "before")
-    # where no bucket holds the edge, whole buckets fill the remainder: those whose end is within it
-    ends = binned.withColumn("end", F.sum("bin_size").over(W.partitionBy("source").orderBy("bucket")))
-    full = ends.alias("e").join(want.alias("t"), same("e", "t")).where(F.col("end") <= F.col("rest")).groupBy("e.source").agg(F.max("bucket").alias("last_full"))
-    want = scratch.cut(want.alias("t").join(full.alias("f"), same("t", "f"), "left").select("t.*", "last_full"), "edges")
-    rows = base.alias("b").join(want.alias("t"), same("b", "t")).select("b.*", "source_size", "target", "epochs", "rest", "edge", "before", "last_full")
-    at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    whole = rows.where(~at_edge).withColumn("extra", F.when(F.col("bucket") <= F.col("last_full"), F.col("size")).otherwise(F.lit(0)))
-    run = W.partitionBy("source").orderBy("key", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
-    left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(run), F.lit(0))
-    cut = rows.where(at_edge).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    out = whole.unionByName(cut).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
-    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", "key", "epochs", "taken")
-
-
-def mix_documents(docs: DataFrame, **how) -> DataFrame:
+    by_bucket = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = binned.withColumn("end", F.sum("bin_size").over(by_bucket)).withColumn("before", F.col("end") - F.col("bin_size"))
+    at = ends.alias("e").join(want.alias("t"), _same("e", "t"))
+    cut = (F.col("before") < F.col("rest")) & (F.col("end") > F.col("rest"))
+    at = at.groupBy("e.source").agg(F.max(F.when(cut, F.col("bucket"))).alias("edge"), F.max(F.when(cut, F.col("before"))).alias("before"), F.max(F.when(F.col("end") <= F.col("rest"), F.col("bucket"))).alias("last_full"))
+    return scratch.cut(want.alias("t").join(at.alias("e"), _same("t", "e"), "left").select("t.*", "edge", "before", "last_full"), "budgets")
+
+
+def _taken_off_edge(rows: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (source, size, bucket) outside of the edge buckets, with taken, and those inside, both with their budget."""
+    budget = ["source_size", "target", "epochs", "rest", "before"]
+    all_ = rows.alias("b").join(want.alias("t"), _same("b", "t")).select("b.*", *budget, F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False)).alias("at_edge"), "last_full")
+    extra = F.when(F.col("bucket") <= F.col("last_full"), F.col("size")).otherwise(F.lit(0))
+    whole = all_.where(~F.col("at_edge")).withColumn("taken", F.col("epochs") * F.col("size") + extra).drop("at_edge", "last_full")
+    return whole, all_.where("at_edge").drop("at_edge", "last_full")
+
+
+def _taken_at_edge(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edge buckets' rows with taken. Their texts may be among the columns; the rows are written once, with a number each.
+
+    The order of entries is a window over one bucket's distinct documents; copies of one are counted, never gathered.
+    """
+    rows = scratch.cut(rows.withColumn("nr", F.monotonically_increasing_id()), "edge")
+    same = ["source", "key", "doc_id", "text_hash"]
+    entries = rows.groupBy(*same, "size", "rest", "before").agg(F.count(F.lit(1)).alias("copies"))
+    run = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "text_hash").rowsBetween(W.unboundedPreceding, -1)
+    entries = entries.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("copies")).over(run), F.lit(0)))
+    entries = scratch.cut(entries.select(*same, "left", (F.col("left") < F.col("size") * F.col("copies")).alias("short")), "entries")
+    all_ = rows.alias("r").join(entries.alias("n"), _same("r", "n", "key", "doc_id", "text_hash")).select("r.*", "left", (F.col("short") & (F.col("left") > 0)).alias("cut"))
+    own = lambda left: F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
+    plain = all_.where(~F.col("cut")).withColumn("taken", own(F.col("left")))
+    # an entry that the budget cuts, one a source at most: its copies are numbered within the task that wrote them
+    split = all_.where("cut").withColumn("task", F.shiftright("nr", 33))
+    tasks = split.groupBy("source", "task").agg(F.count(F.lit(1)).alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(W.partitionBy("source", "task").orderBy("nr")) - 1
+    split = split.withColumn("nth", nth).alias("r").join(tasks.alias("t"), _same("r", "t", "task")).select("r.*", "ahead")
+    split = split.withColumn("taken", own(F.col("left") - (F.col("ahead") + F.col("nth")) * F.col("size")))
+    return plain.drop("nr", "left", "cut").unionByName(split.drop("nr", "left", "cut", "task", "nth", "ahead"))
+
+
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, buckets: int = 4096, seed: str = "mix", quality: str | None = None) -> DataFrame:
+    """doc_id, text_hash, source, size, source_size, target, key, epochs and taken (words) of each row."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    base = scratch.cut(docs.select("doc_id", "source", *[c.alias(n) for n, c in measured(docs, seed, quality, buckets).items()]), "base")
+    whole, edge = _taken_off_edge(base, _budgets(base, scratch, weights, share, max_epochs))
+    columns = ["doc_id", "text_hash", "source", "size", "source_size", "target", "key", "epochs", "taken"]
+    return whole.select(columns).unionByName(_taken_at_edge(edge, scratch).select(columns))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, buckets: int = 4096, seed: str = "mix", quality: str | None = None) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each pass over a document; a part-taken pass keeps its first words."""
-    plan = plan_mix(docs, **how).where(F.col("taken") > 0).select("doc_id", "text_hash", "size", "taken").groupBy("doc_id", "text_hash").agg(F.max("size").alias("size__"), F.max("taken").alias("taken__"))
-    plan = plan.select(F.col("doc_id").alias("doc_id__"), F.col("text_hash").alias("hash__"), "size__", "taken__")
-    rows = docs.withColumn("key__", F.xxhash64("text")).join(plan, F.col("doc_id").eqNullSafe(F.col("doc_id__")) & (F.col("key__") == F.col("hash__")))
-    rows = rows.withColumn("pass__", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken__") / F.col("size__")).cast("int"))))
-    part = F.col("taken__") - (F.col("pass__") - 1) * F.col("size__")
-    pieces = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    blank = F.when(F.rlike(F.col("text"), F.lit(r"\A[\x20\x09-\x0D]")), 1).otherwise(0)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    base = docs.select("source", *[c.alias(n) for n, c in measured(docs, seed, quality, buckets).items() if n in ("size", "bucket")])
+    want = _budgets(base, scratch, weights, share, max_epochs)
+    own = F.struct(*docs.columns).alias("own")
+    rows = docs.select(own, "doc_id", "source", *[c.alias(n) for n, c in measured(docs, seed, quality, buckets).items()])
+    whole, edge = _taken_off_edge(rows, want)
+    columns = ["own", "size", "taken"]
+    rows = whole.select(columns).unionByName(_taken_at_edge(edge, scratch).select(columns)).where(F.col("taken") > 0)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("pass"))
+    part = F.col("taken") - (F.col("pass") - 1) * F.col("size")
+    text = F.col("own.text")
+    pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    blank = F.when(F.rlike(text, F.lit(r"\A[\x20\x09-\x0D]")), 1).otherwise(0)
     head = F.array_join(F.slice(pieces, F.lit(1), (part + blank).cast("int")), "")
-    rows = rows.withColumn("text", F.when(part < F.col("size__"), head).otherwise(F.col("text")))
+    new = {"text": F.when(part < F.col("size"), head).otherwise(text)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(part < F.col("size__"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(part < F.col("size"), F.char_length(head).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own.n_chars"))
+    return rows.select(*[new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])

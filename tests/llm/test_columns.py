@@ -121,17 +121,51 @@ def test_fraction_follows_key_order(spark):
         assert by_key == sorted(by_key, reverse=True) and sum(0 < x < 3 for x in by_key) <= 1
 
 
-def test_mixed_rows(spark):
-    docs = documents(spark)
-    plan = {(r.doc_id, r.text_hash): r for r in mixing.plan_mix(docs).collect()}
-    mixed = mixing.mix_documents(docs)
+def words_of(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def mixed_equals_plan(spark, rows, **how):
+    docs = documents(spark, rows)
+    planned, sources = {}, {}
+    for r in mixing.plan_mix(docs, **how).collect():
+        planned[r.doc_id, r.text_hash] = planned.get((r.doc_id, r.text_hash), 0) + r.taken
+        sources.setdefault(r.source, [r.target, 0])[1] += r.taken
+        assert r.epochs * r.size <= r.taken <= (r.epochs + 1) * r.size
+    assert all(taken == math.floor(target + 1e-9) for target, taken in sources.values())
+    mixed = mixing.mix_documents(docs, **how)
     assert mixed.columns == docs.columns
-    texts = {}
+    hashes = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    found, by_source, starts = {}, {}, {}
+    for d, t in hashes:
+        starts.setdefault(d, []).append(t)
     for r in mixed.collect():
-        texts.setdefault(r.doc_id, []).append(r.text)
-    for (doc_id, _), r in plan.items():
-        if doc_id is not None and doc_id != 7:
-            assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in texts.get(doc_id, [])) == r.taken
+        own = [t for t in starts[r.doc_id] if t is not None and t.startswith(r.text)]
+        assert own
+        if len(own) == 1 or r.text in own:
+            t = r.text if r.text in own else own[0]
+            found[r.doc_id, hashes[r.doc_id, t]] = found.get((r.doc_id, hashes[r.doc_id, t]), 0) + words_of(r.text)
+        by_source[r.source] = by_source.get(r.source, 0) + words_of(r.text)
+    assert found == {k: v for k, v in planned.items() if v}
+    assert by_source == {s: taken for s, (_, taken) in sources.items() if taken}
+
+
+def test_mixed_rows(spark):
+    mixed_equals_plan(spark, ROWS)
+
+
+@pytest.mark.parametrize("hot, buckets", [(7, 4096), (None, 4096), (7, 1), (None, 2)])
+def test_mix_of_repeated_rows(spark, hot, buckets):
+    rows = [(hot, "one two three four five six seven", "en", "b")] * 40 + [(100 + i, "a b c " * (1 + i % 5), "en", "ab"[i % 2]) for i in range(70)] + [(500, "x y", "en", None)] * 3
+    mixed_equals_plan(spark, rows, buckets=buckets)
+    mixed_equals_plan(spark, rows[:40] + [(1, "z " * 500, "en", "a")], buckets=buckets)
+
+
+def test_quality_weighs(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "'a b c' AS text", "'s' AS source", "IF(id % 2 = 0, 0.9D, IF(id % 4 = 1, 0.1D, double('NaN'))) AS q")
+    taken = {r.doc_id: r.taken - 3 * r.epochs for r in mixing.plan_mix(docs, quality="q", share=0.5).collect()}
+    good, bad, none = (sum(v for k, v in taken.items() if k % 4 in m) for m in ((0, 2), (1,), (3,)))
+    assert sum(taken.values()) == 6000 and good > 4000 > 2 * bad > 2 * none
 
 
 def test_chat_cases(spark):
