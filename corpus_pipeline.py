@@ -4,7 +4,8 @@ Every stage but the last returns the columns of its input; ``run`` writes each s
 next one's, in the folder that all executors share.
 
 Defined cases: a stage treats nulls, empty texts, repeated rows and empty tables as its operator does. Near-dedup keeps
-one row of each component, so repeated rows of one doc_id become one; rows without doc_id stay. Mixing repeats rows.
+one row of each component, so repeated rows of one doc_id become one (that of the smallest hash over all columns); rows
+without doc_id stay. Mixing repeats rows.
 """
 
 from __future__ import annotations
@@ -36,15 +37,27 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest doc_id."""
-    kept = near_dedup.near_components(docs, percent=80).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near duplicates: the one of smallest doc_id; of its rows that of the smallest hash."""
+    marks = near_dedup.near_components(docs, percent=80).where(F.col("kept") & F.col("doc_id").isNotNull())
+    ids = Scratch(spark, "kept").cut(marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "ids")
+    known = docs.where(F.col("doc_id").isNotNull())
+    once = known.join(ids.where(F.col("n") == 1), "doc_id", "left_semi")
+    # written, so that the join may split a doc_id with very many rows and the choice among them combines before its shuffle
+    again = Scratch(spark, "kept").cut(known.join(ids.where(F.col("n") > 1), "doc_id", "left_semi"), "again")
+    one = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return once.unionByName(one.select("row.*")).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each pass over a document."""
-    return mixing.mix_documents(docs)
+    """The mix of sources, a row for each pass over a document. Documents weigh as the quality classifier scores them.
+
+    Stages return the columns of documents only, so the score is worked out again: the same model, as its samples are.
+    """
+    model = quality.fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    own = F.struct(*docs.columns).alias("own__")
+    scored = quality.score_documents(docs.select("doc_id", "text", own), model).select("own__", "score")
+    rows = Scratch(spark, "scored").cut(scored.select("own__.*", F.col("score").alias("quality__")), "scored")
+    return mixing.mix_documents(rows, quality="quality__").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
