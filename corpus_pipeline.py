@@ -54,9 +54,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Stages return the columns of documents only, so the score is worked out again: the same model, as its samples are.
     """
     model = quality.fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    own = F.struct(*docs.columns).alias("own__")
-    scored = quality.score_documents(docs.select("doc_id", "text", own), model).select("own__", "score")
-    rows = Scratch(spark, "scored").cut(scored.select("own__.*", F.col("score").alias("quality__")), "scored")
+    rows = docs.toDF(*[c if c == "text" else f"own_{c}" for c in docs.columns])
+    scored = Scratch(spark, "scored").cut(quality.score_documents(rows, model).drop("predicted"), "scored")
+    rows = scored.toDF(*docs.columns, "quality__")
     return mixing.mix_documents(rows, quality="quality__").select(*docs.columns)
 
 

@@ -6,6 +6,7 @@ A table that a plan reads several times is written once; its readers then share
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -34,8 +35,11 @@ atexit.register(clear)
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under ``spark.checkpoint.dir``. Only where all of Spark is one process may that be unset: a temporary one then."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = named.rstrip("/") if named else "file://" + tempfile.gettempdir()
     folder = f"{root}/lexmill-{label}-{uuid.uuid4().hex}"
     _LEFT.append((spark, folder))

@@ -173,3 +173,22 @@ def test_synonyms_span_tokens(spark):
     th = spark.createDataFrame([("a", ["p"])], "term string, related array<string>")
     assert enrich.with_thesaurus(tokens, th, ["doc_id"]).where("kind = 'thesaurus'").count() == 2
     assert sinks.token_lists(tokens, ["doc_id"]).first().tokens == ["a", "b", "c", "a", "b"]
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from lexmill.plans import scratch
+
+    def session(master, folder=None):
+        get = lambda name, default=None: folder
+        return SimpleNamespace(conf=SimpleNamespace(get=get), sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=get)))
+
+    before = list(scratch._LEFT)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_folder(session(master), "x")
+        assert scratch.shared_folder(session(master, "s3a://bucket/"), "x").startswith("s3a://bucket/lexmill-x-")
+    for master in ("local", "local[4]", "local[*]", "local[2,3]"):
+        assert scratch.shared_folder(session(master), "x").startswith("file:///")
+    scratch._LEFT[:] = before
