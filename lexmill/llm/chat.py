@@ -13,7 +13,8 @@ all turns spreads over many tasks.
 Defined cases: null text is an empty turn; a null role is a participant named ``unknown``; a null turn comes first, ties
 of turn are ordered by role and text, repeated rows are turns of their own; a dialogue of system turns only has one
 perspective, null, without masks; a null conv_id is a dialogue of its own; an empty table gives an empty result; template
-marks inside a text are broken up, so text cannot forge turns; other columns are not read.
+marks inside a text or role are broken up and line ends in a role become blanks, so neither can forge turns (roles that
+are then alike are one participant); other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ def perspectives(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = turns.sparkSession
     scratch = Scratch(spark, "chat")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("< |im_"))
-    base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), body.alias("body"))
+    harmless = lambda c: F.replace(c, F.lit("<|im_"), F.lit("< |im_"))
+    speaker = F.translate(harmless(F.coalesce("role", F.lit("unknown"))), "\r\n", "  ")
+    base = turns.select("conv_id", "turn", speaker.alias("speaker"), harmless(F.coalesce("text", F.lit(""))).alias("body"))
     people = base.where(F.col("speaker") != "system").select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     # written, so that the join's sides are plain shuffles and a dialogue with very many turns can be split
     people = scratch.cut(people, "people")

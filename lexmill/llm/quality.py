@@ -4,14 +4,14 @@ A small network scores character statistics of the whole text. It is trained on
 non-negative unbiased risk: trusted positives are rows labelled good, unlabelled rows are web text whatever its label,
 and the class prior is estimated from the two samples (the smallest ratio of their tail shares under a classifier that
 tells them apart, which is where unlabelled text looks least like anything else). The negative part of the risk is kept
-from falling below zero by stepping back whenever it does. Scores are put on the labelled training rows' scale by a
-monotone logistic map, so that 0.7 means what the labels mean.
+from falling below zero by stepping back whenever it does. Labels of bad text are not used at all: with the logistic
+loss, the minimum of the risk is the log odds of good text under that prior, so the score is their logistic function.
 
-Training reads bounded samples chosen by hashes of doc_id (``positives``, ``unlabelled``, ``negatives`` for the scale);
-scoring reads every whole text. Held-out rows (crc32 of doc_id mod 4 is 2) and rows without doc_id are never trained on.
+Training reads bounded samples chosen by hashes of doc_id and text (``positives``, ``unlabelled``); scoring reads every
+whole text. Held-out rows (crc32 of doc_id mod 4 is 2) and rows without doc_id are never trained on.
 
-Defined cases: null and empty texts are scored as empty; labels other than 0 and 1 and null labels are ignored, a doc_id
-labelled both ways counts as 0; without labelled positives every score is 0.5; repeated rows get equal scores; an empty
+Defined cases: null and empty texts are scored as empty; labels other than 1 are ignored, but a doc_id
+labelled both 0 and 1 is no positive; without labelled positives every score is 0.5; repeated rows get equal scores; an empty
 table gives an empty result; columns named score or predicted give way.
 """
 
@@ -74,8 +74,6 @@ class Model:
     b1: np.ndarray
     w2: np.ndarray
     b2: float
-    slope: float = 1.0
-    shift: float = 0.0
     prior: float = 0.5
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -83,7 +81,7 @@ class Model:
         return h @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(x).astype(np.float64) + self.shift, -60, 60)))
+        return _sigmoid(self.raw(x).astype(np.float64))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -101,6 +99,25 @@ def estimate_prior(good: np.ndarray, some: np.ndarray) -> float:
     return float(np.clip(((u + 0.5 * slack * (1 - p)) / p).min(), 0.02, 0.98))
 
 
+def slopes(f: np.ndarray, k: int, prior: float | None) -> np.ndarray:
+    """The risk's gradient by the outputs ``f``, of k positives and then of unlabelled rows.
+
+    If the negative part, the unlabelled rows' loss without the positives' share of it, is below zero, the step goes
+    back from it. With no prior: plain logistic loss of positives against unlabelled rows.
+    """
+    up, un = -_sigmoid(-f), _sigmoid(f)  # slopes of the logistic losses of +1 and of -1
+    u, g = len(f) - k, np.empty_like(f)
+    if prior is None:
+        g[:k], g[k:] = up[:k] / k, un[k:] / u
+        return g
+    low = np.logaddexp(0, f)
+    if low[k:].mean() - prior * low[:k].mean() >= 0:
+        g[:k], g[k:] = prior * (up[:k] - un[:k]) / k, un[k:] / u
+    else:
+        g[:k], g[k:] = prior * un[:k] / k, -un[k:] / u
+    return g
+
+
 def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int, steps: int, rate: float, seed: int, model: Model | None = None) -> Model:
     """Minimise the non-negative risk; with no prior, plain logistic loss of positives against unlabelled rows."""
     rng = np.random.default_rng(seed)
@@ -114,18 +131,7 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int, ste
         x = np.concatenate([p, u])
         h = np.maximum(x @ w[0] + w[1], 0)
         f = h @ w[2] + w[3]
-        up, un = -_sigmoid(-f), _sigmoid(f)  # slopes of the logistic losses of +1 and of -1
-        k = len(p)
-        g = np.empty_like(f)
-        if prior is None:
-            g[:k], g[k:] = up[:k] / k, un[k:] / len(u)
-        else:
-            low = np.logaddexp(0, f)
-            negative = low[k:].mean() - prior * low[:k].mean()
-            if negative >= 0:
-                g[:k], g[k:] = prior * (up[:k] - un[:k]) / k, un[k:] / len(u)
-            else:  # step back from fitting the negative part below zero
-                g[:k], g[k:] = prior * un[:k] / k, -un[k:] / len(u)
+        g = slopes(f, len(p), prior)
         gh = np.outer(g, w[2]) * (h > 0)
         grads = [x.T @ gh + 1e-4 * w[0], gh.sum(0), h.T @ g + 1e-4 * w[2], np.array([g.sum()])]
         for i, d in enumerate(grads):
@@ -135,23 +141,7 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int, ste
     return Model(mean, scale, w[0].astype(np.float32), w[1].astype(np.float32), w[2].astype(np.float32), float(w[3][0]), prior=0.5 if prior is None else prior)
 
 
-def _platt(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope (above 0) and shift of the logistic map of scores to labels, by Newton steps on smoothed targets."""
-    n1, n0 = int(label.sum()), int((1 - label).sum())
-    t = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    centre, spread = raw.mean(), raw.std() + 1e-9
-    x = np.stack([(raw - centre) / spread, np.ones_like(raw)], axis=1)
-    w = np.array([1.0, np.log((n1 + 1) / (n0 + 1))])
-    for _ in range(50):
-        s = _sigmoid(x @ w)
-        grad = x.T @ (s - t) + np.array([1e-3 * w[0], 0])
-        hess = (x * (s * (1 - s))[:, None]).T @ x + np.eye(2) * 1e-3
-        w = w - np.clip(np.linalg.solve(hess, grad), -2, 2)
-    slope = max(w[0], 1e-3) / spread
-    return float(slope), float(w[1] - slope * centre)
-
-
-def train(pos: np.ndarray, unl: np.ndarray, neg: np.ndarray, hidden: int = 32, steps: int = 1500, seed: int = 5) -> Model | None:
+def train(pos: np.ndarray, unl: np.ndarray, hidden: int = 32, steps: int = 1500, seed: int = 5) -> Model | None:
     if not len(pos) or not len(unl):
         return None
     half_p, half_u = np.arange(len(pos)) % 2 == 0, np.arange(len(unl)) % 2 == 0
@@ -159,11 +149,7 @@ def train(pos: np.ndarray, unl: np.ndarray, neg: np.ndarray, hidden: int = 32, s
     if half_p.sum() >= 20 and half_u.sum() >= 20:
         apart = _fit(pos[half_p], unl[half_u], None, hidden, 600, 3e-3, seed)
         prior = estimate_prior(apart.raw(pos[~half_p]), apart.raw(unl[~half_u]))
-    model = _fit(pos, unl, prior, hidden, steps, 3e-3, seed)
-    if len(neg) >= 5 and len(pos) >= 5:
-        label = np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
-        model.slope, model.shift = _platt(np.concatenate([model.raw(pos), model.raw(neg)]).astype(np.float64), label)
-    return model
+    return _fit(pos, unl, prior, hidden, steps, 3e-3, seed)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,18 +159,18 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], ["kind", "x"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, negatives: int = 4000, seed: int = 11) -> Model | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, seed: int = 11) -> Model | None:
     """Train on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
     text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").where(trainable(F.col("doc_id")))
-    marked = labels.where(trainable(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("kind"))
-    chosen = thin(marked, "kind", max(positives, negatives), seed)
-    # the labelled sample is of bounded size, and so may be broadcast
-    known = rows.join(F.broadcast(chosen), "doc_id").select("kind", "text")
+    marked = labels.where(trainable(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("kind"))
+    chosen = thin(marked.where(F.col("kind") == 1).select("doc_id"), None, positives, seed)
+    # the labelled sample is of bounded size, and so may be broadcast; a doc_id of very many rows is thinned once more
+    known = thin(rows.join(F.broadcast(chosen), "doc_id"), None, positives, seed).select(F.lit(1).alias("kind"), "text")
     web = thin(rows, None, unlabelled, seed + 1).select(F.lit(2).alias("kind"), "text")
     got = known.unionByName(web).mapInArrow(_featured, "kind int, x binary").collect()
-    by = {k: _rows([r.x for r in got if r.kind == k], seed) for k in (0, 1, 2)}
-    return train(by[1][:positives], by[2][: 2 * unlabelled], by[0][:negatives])
+    by = {k: _rows([r.x for r in got if r.kind == k], seed) for k in (1, 2)}
+    return train(by[1], by[2])
 
 
 def _rows(raw: list[bytes], seed: int) -> np.ndarray:

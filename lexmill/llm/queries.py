@@ -73,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 ORACLES = {
     "op6_chat": r"""
-WITH b AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '< |im_') AS body FROM conversations),
+WITH b AS (SELECT conv_id, turn, translate(replace(coalesce(role, 'unknown'), '<|im_', '< |im_'), chr(13) || chr(10), '  ') AS speaker, replace(coalesce(text, ''), '<|im_', '< |im_') AS body FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM b WHERE speaker <> 'system'),
 r AS (SELECT b.conv_id, p.perspective, b.turn, b.speaker, b.body,
              CASE WHEN b.speaker = 'system' THEN 'system' WHEN b.speaker IS NOT DISTINCT FROM p.perspective THEN 'assistant' ELSE 'user' END AS role_as

@@ -171,12 +171,44 @@ def test_non_negative_risk_learns_from_positives():
     rng = np.random.default_rng(1)
     make = lambda n, at: np.clip(rng.normal(at, 1, (n, quality.WIDTH)), -5, 5).astype(np.float32)
     pos, unl = make(600, 0.25), np.concatenate([make(900, 0.25), make(600, -0.25)])
-    model = quality.train(pos, unl, np.zeros((0, quality.WIDTH), np.float32), steps=600)
+    model = quality.train(pos, unl, steps=600)
     assert abs(model.prior - 0.6) < 0.15
     good, bad = model.raw(make(500, 0.25)), model.raw(make(500, -0.25))
     assert (good[:, None] > bad[None, :]).mean() > 0.9
 
 
+def test_risk_steps_back_below_zero():
+    rng = np.random.default_rng(2)
+
+    def parts(f, k, prior):
+        low = lambda x: np.logaddexp(0, x)
+        return prior * low(-f[:k]).mean(), low(f[k:]).mean() - prior * low(f[:k]).mean()
+
+    def numeric(f, k, value):
+        out = np.empty_like(f)
+        for i in range(len(f)):
+            d = np.eye(len(f))[i] * 1e-6
+            out[i] = (value(f + d) - value(f - d)) / 2e-6
+        return out
+
+    inside = rng.normal(0, 1, 12)
+    assert parts(inside, 5, 0.3)[1] > 0
+    assert np.allclose(quality.slopes(inside, 5, 0.3), numeric(inside, 5, lambda f: sum(parts(f, 5, 0.3))), atol=1e-6)
+    below = np.append(rng.normal(4, 0.1, 5), rng.normal(-4, 0.1, 7))
+    assert parts(below, 5, 0.6)[1] < 0
+    assert np.allclose(quality.slopes(below, 5, 0.6), numeric(below, 5, lambda f: -parts(f, 5, 0.6)[1]), atol=1e-6)
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_samples_are_bounded_with_a_hot_id(spark, hot):
+    rows = spark.range(30_000).selectExpr("IF(id % 3 = 0, 7, id) AS doc_id", "CONCAT('text ', IF(id % 3 = 0 AND NOT " + ("true" if hot else "false") + ", 0, id)) AS text")
+    for seed in range(3):
+        assert 350 < thin(rows, None, 500, seed).count() < 650 or not hot
+        assert thin(rows, None, 500, seed).count() < 650
+    labels = spark.createDataFrame([(7, 1), (8, 1), (10, 0)], "doc_id long, quality int")
+    assert quality.fit_quality(rows, labels, positives=200, unlabelled=400).prior > 0
+
+
 def test_language_gradients():
     net = lang_id.fresh(["a", "b", "c"], 5, dtype=np.float64)
     x, live = lang_id.columns([b"abc", b"zz", b"hello"])
