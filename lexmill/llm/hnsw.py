@@ -1,35 +1,42 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt over shards by a hash of vec_id. A shard collapses equal vectors to one node that keeps its smallest
-vec_ids, appends to each vector the component that gives all the same length (so the largest inner product is the
-nearest point), orders nodes by their random level and inserts them batch by batch: each batch searches the graph so
-far by a beam, adds its own members as candidates, and links to diverse neighbours both ways. Layers are flat arrays of
-neighbour numbers; the nodes of layer l are the first ones, so no mapping is stored. The index is a table with a row a
-shard. Blocks of queries meet every shard, each shard's results are scored on the original vectors in double precision,
-and the best over all shards are kept.
-
-Every valid row is indexed; there is no sample. Recall is that of the beam (``beam``), measured in the tests.
+Vectors are dealt over shards by a hash of vec_id, ``SHARD_ROWS`` a shard on average whatever the size of the table. A
+shard collapses equal vectors to one node that keeps its smallest vec_ids, appends to each vector the component that
+gives all the same length (so the largest inner product is the nearest point), orders nodes by their random level and
+inserts them batch by batch: each batch searches the graph so far by a beam, adds its own members as candidates, and
+links to diverse neighbours both ways. Layers are flat arrays of neighbour numbers; the nodes of layer l are the first
+ones, so no mapping is stored. The index is a table with a row a shard. A task meets a shard's row first and then its
+queries as a stream, so the index is loaded once for all of them; what is found is scored on the original vectors in
+double precision, and the best over all shards are kept.
+
+Every valid row is indexed; there is no sample. Recall is that of the beam in a full shard, however many shards there
+are: of the 20 nearest among 8,192 Gaussian vectors of 64 components, whose lengths differ, 0.978 are found; the tests
+measure it over several full shards.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
-vec_ids; a vec_id in several rows stands for the smallest of its vectors; vectors are only compared with vectors of the
+vec_ids; a vec_id in several rows stands for the smallest of its vectors (by components, then length); vectors are only compared with vectors of the
 same dimension; ties go to the smaller vec_id; a query with fewer candidates than k gets them all; an empty table gives
 an empty result; columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexmill.llm.store import Scratch
+from lexmill.llm.store import Scratch, text_batches
 from lexmill.llm.textbytes import mix
 
-M, M0 = 16, 32
+M, M0 = 24, 48
 BATCH, EXPAND = 256, 4
-INDEX = "shard int, dim int, n long, vectors binary, layers array<binary>, member_at binary, members binary"
+#: Rows of a shard on average, and the most bytes that their vectors may take in double precision; wider vectors get smaller shards.
+SHARD_ROWS, SHARD_BYTES = 8192, 128 << 20
+INDEX = "shard int, dim int, n long, points binary, vectors binary, layers array<binary>, member_at binary, members binary"
 
 
 def valid(vector: Column) -> Column:
@@ -111,7 +118,7 @@ def _link(points: np.ndarray, layer: np.ndarray, who: np.ndarray, to: np.ndarray
         layer[t] = diverse(points, t, np.take_along_axis(cand, best, 1), np.take_along_axis(s, best, 1), most)
 
 
-def build(vectors: np.ndarray, beam: int = 96) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def build(vectors: np.ndarray, beam: int = 128) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Points with their length-evening component, layers (0 first), in the order of nodes given by the last array."""
     n = len(vectors)
     square = (vectors.astype(np.float64) ** 2).sum(axis=1)
@@ -156,18 +163,16 @@ def search(points: np.ndarray, layers: list[np.ndarray], q: np.ndarray, beam: in
     return beam_search(points, layers[0], q, entry, beam)[0]
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The vectors in the type of their column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _index(keep: int, beam: int):
     def run(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
         ids, vectors = table.column("vec_id").to_numpy(), _matrix(table.column("embedding"), dim)
-        order = np.lexsort((*vectors.T[::-1], ids))
-        ids, vectors = ids[order], vectors[order]
-        first = np.append(True, ids[1:] != ids[:-1])
-        ids, vectors = ids[first], vectors[first]
         nodes, which = np.unique(vectors, axis=0, return_inverse=True)
         which = which.ravel()
         points, layers, at = build(nodes, beam)
@@ -180,31 +185,30 @@ def _index(keep: int, beam: int):
         # of equal vectors no result can hold more than its k and the query itself
         node, ids = node[rank <= keep], ids[rank <= keep]
         member_at = np.searchsorted(node, np.arange(len(nodes) + 1))
-        row = {"shard": table.column("shard")[0].as_py(), "dim": dim, "n": len(nodes), "vectors": points.tobytes(), "layers": [x.tobytes() for x in layers], "member_at": member_at.astype(np.int64).tobytes(), "members": ids.astype(np.int64).tobytes()}
-        return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("n", pa.int64()), ("vectors", pa.binary()), ("layers", pa.list_(pa.binary())), ("member_at", pa.binary()), ("members", pa.binary())]))
+        row = {"shard": table.column("shard")[0].as_py(), "dim": dim, "n": len(nodes), "points": points.tobytes(), "vectors": np.ascontiguousarray(nodes[at]).tobytes(), "layers": [x.tobytes() for x in layers], "member_at": member_at.astype(np.int64).tobytes(), "members": ids.astype(np.int64).tobytes()}
+        return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("n", pa.int64()), ("points", pa.binary()), ("vectors", pa.binary()), ("layers", pa.list_(pa.binary())), ("member_at", pa.binary()), ("members", pa.binary())]))
 
     return run
 
 
-def _query(k: int, beam: int):
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+class Shard:
+    """A shard's index as arrays."""
+
+    def __init__(self, row: dict, kind: np.dtype):
+        self.dim, n = row["dim"], row["n"]
+        self.points = np.frombuffer(row["points"], np.float32).reshape(n, self.dim + 1)
+        self.vectors = np.frombuffer(row["vectors"], kind).reshape(n, self.dim)
+        self.layers = [np.frombuffer(raw, np.int32).reshape(-1, M0 if i == 0 else M) for i, raw in enumerate(row["layers"])]
+        self.member_at, self.members = np.frombuffer(row["member_at"], np.int64), np.frombuffer(row["members"], np.int64)
 
-    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
-        if not queries.num_rows or not index.num_rows:
-            return out.empty_table()
-        x = index.to_pylist()[0]
-        points = np.frombuffer(x["vectors"], np.float32).reshape(x["n"], x["dim"] + 1)
-        layers = [np.frombuffer(raw, np.int32).reshape(-1, M0 if i == 0 else M) for i, raw in enumerate(x["layers"])]
-        member_at, members = np.frombuffer(x["member_at"], np.int64), np.frombuffer(x["members"], np.int64)
-        ids, q = queries.column("vec_id").to_numpy(), _matrix(queries.column("embedding"), x["dim"])
-        got_q, got_v, got_s = [], [], []
+    def nearest(self, ids: np.ndarray, q: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+        got_q, got_v, got_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for a in range(0, len(q), BATCH):
-            found = search(points, layers, q[a : a + BATCH], beam)
-            for i, nodes in enumerate(found):
+            for i, nodes in enumerate(search(self.points, self.layers, q[a : a + BATCH].astype(np.float32), beam)):
                 nodes = nodes[nodes >= 0]
-                score = (points[nodes, :-1].astype(np.float64) * q[a + i].astype(np.float64)).sum(axis=1)
-                count = member_at[nodes + 1] - member_at[nodes]
-                who = members[np.repeat(member_at[nodes] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+                score = (self.vectors[nodes].astype(np.float64) * q[a + i].astype(np.float64)).sum(axis=1)
+                count = self.member_at[nodes + 1] - self.member_at[nodes]
+                who = self.members[np.repeat(self.member_at[nodes] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
                 score = np.repeat(score, count)
                 other = who != ids[a + i]
                 who, score = who[other], score[other]
@@ -212,29 +216,57 @@ def _query(k: int, beam: int):
                 got_q.append(np.full(len(best), ids[a + i]))
                 got_v.append(who[best])
                 got_s.append(score[best])
-        return pa.table({"query_id": np.concatenate(got_q), "vec_id": np.concatenate(got_v), "score": np.concatenate(got_s)}, out)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (got_q, got_v, got_s)], ["query_id", "vec_id", "score"])
+
+
+def _search(k: int, beam: int):
+    """Rows by (dim, shard), the shard's index first: each query against the index before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, shard = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            dims, shards = batch.column(names.index("dim")).to_numpy(), batch.column(names.index("shard")).to_numpy()
+            is_index = batch.column(names.index("index")).is_valid().to_numpy(zero_copy_only=False)
+            vectors = batch.column(names.index("embedding"))
+            kind = np.dtype(vectors.type.value_type.to_pandas_dtype())
+            starts = np.flatnonzero(np.append(True, is_index[1:] | is_index[:-1] | (np.diff(dims) != 0) | (np.diff(shards) != 0)))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                if is_index[a]:
+                    place, shard = (dims[a], shards[a]), Shard(batch.column(names.index("index"))[a].as_py(), kind)
+                elif place == (dims[a], shards[a]):
+                    yield shard.nearest(batch.column(names.index("vec_id")).slice(a, b - a).to_numpy(), _matrix(vectors.slice(a, b - a), shard.dim), k, beam)
 
     return run
 
 
-def build_shards(vectors: DataFrame, scratch: Scratch, shards: int | None = None, shard_rows: int = 100_000, keep: int = 20, beam: int = 96) -> tuple[DataFrame, int]:
-    """The index table of ``vectors`` (vec_id, embedding), and the number of shards a dimension."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding and dim of what takes part, a row for each vec_id."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    n = shards or max(8, -(-rows.count() // shard_rows))
-    rows = rows.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return scratch.cut(rows.groupBy("dim", "shard").applyInArrow(_index(keep, beam), INDEX), "index"), n
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+
+
+def build_shards(rows: DataFrame, scratch: Scratch, shards: int | None = None, least: int = 8, keep: int = 20, beam: int = 128) -> tuple[DataFrame, int]:
+    """The index table of ``rows`` (of ``usable``, best a written table), and the number of shards a dimension."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
+    n = shards or max(least, -(-size.n // max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * (size.dim or 1))))))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    return scratch.cut(dealt.groupBy("dim", "shard").applyInArrow(_index(keep, beam), INDEX), "index"), n
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 224, shards: int | None = None, block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 224, shards: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k nearest found."""
-    scratch = Scratch(vectors.sparkSession, "hnsw")
-    index, n = build_shards(vectors, scratch, shards, keep=k)
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = max(1, -(-asked.count() // block))
-    asked = asked.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = asked.groupBy("dim", "shard", "block").cogroup(met.groupBy("dim", "shard", "block")).applyInArrow(_query(k, beam), "query_id long, vec_id long, score double")
+    scratch = Scratch(text_batches(vectors.sparkSession), "hnsw")
+    rows = scratch.cut(usable(vectors), "rows")
+    index, n = build_shards(rows, scratch, shards, keep=k)
+    asked = usable(queries).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    kind = rows.schema["embedding"].dataType
+    index = index.select("dim", "shard", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast(kind).alias("embedding"), F.struct(*index.columns).alias("index"))
+    asked = asked.select("dim", "shard", "vec_id", F.col("embedding").cast(kind).alias("embedding"), F.lit(None).cast(index.schema["index"].dataType).alias("index"))
+    parts = max(n, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = index.unionByName(asked).repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("vec_id").asc_nulls_first())
+    found = met.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

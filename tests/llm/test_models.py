@@ -257,11 +257,11 @@ def test_kept_windows_change_nothing(monkeypatch):
     assert not want[3].any()
 
 
-def brute_nearest(rows, k):
+def brute_nearest(rows, k, kind=np.float32):
     good = {}
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good.setdefault(i, []).append(tuple(np.float32(x) for x in v))
+            good.setdefault(i, []).append(tuple(kind(x) for x in v))
     good = {i: np.array(min(vs), np.float64) for i, vs in good.items()}
     out = {}
     for q in good:
@@ -271,15 +271,16 @@ def brute_nearest(rows, k):
     return out
 
 
-def test_nearest_cases(spark):
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_cases(spark, kind):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(120)]
-    rows += [(i, [1.0] * 8) for i in range(200, 260)] + [(300, None), (301, []), (320, [0.0] * 8), (303, [1.0, None] * 4), (304, [float("nan")] * 8), (340, [float("inf")] * 8), (None, [1.0] * 8), (7, [9.0] * 8), (40, rows[40][1]), (400, [1.0, 2.0]), (401, [3.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS shard", "2 AS dim")
+    rows += [(i, [1.0] * 8) for i in range(200, 260)] + [(300, None), (301, []), (320, [0.0] * 8), (303, [1.0, None] * 4), (304, [float("nan")] * 8), (340, [float("inf")] * 8), (None, [1.0] * 8), (7, [9.0] * 8), (40, rows[40][1]), (400, [1.0, 2.0]), (401, [3.0, 1.0]), (60, [0.25, 7.0]), (9, [-5.0])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 AS shard", "2 AS dim")
     got = {}
     for r in hnsw.nearest(df, df.where("vec_id % 20 = 0"), k=20, shards=3).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    want = brute_nearest(rows, 20)
+    want = brute_nearest(rows, 20, np.float32 if kind == "float" else np.float64)
     assert set(got) == set(want)
     for q, found in got.items():
         found.sort()
@@ -297,13 +298,19 @@ def test_recall(spark, sf):
     assert np.mean([len(got[q] & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.95
 
 
-def test_recall_of_a_larger_graph():
-    x = np.random.default_rng(5).normal(size=(4000, 48)).astype(np.float32)
-    points, layers, order = hnsw.build(x)
-    assert sorted(order.tolist()) == list(range(4000)) and len(layers) > 1
-    found = order[hnsw.search(points, layers, x[:200], 224)]
-    best = np.argsort(-(x[:200] @ x.T), axis=1)[:, :20]
-    assert np.mean([len(set(f[:20]) & set(b)) / 20 for f, b in zip(found, best)]) >= 0.9
+def test_recall_of_full_shards():
+    """Gaussian vectors, whose lengths differ, in three shards of production size, merged as the query does."""
+    rows, n = hnsw.SHARD_ROWS, 3 * hnsw.SHARD_ROWS
+    x = np.random.default_rng(5).normal(size=(n, 64)).astype(np.float32)
+    q, found = x[:100], []
+    for a in range(0, n, rows):
+        points, layers, order = hnsw.build(x[a : a + rows])
+        assert sorted(order.tolist()) == list(range(rows)) and len(layers) > 1
+        found.append(a + order[hnsw.search(points, layers, q, 224)][:, :20])
+    scores = q @ x.T
+    best = np.argsort(-scores, axis=1)[:, :20]
+    merged = [sorted(np.concatenate([f[i] for f in found]).tolist(), key=lambda v: -scores[i, v])[:20] for i in range(len(q))]
+    assert np.mean([len(set(f) & set(b)) / 20 for f, b in zip(merged, best)]) >= 0.95
 
 
 def test_pipeline(spark, sf):
