@@ -1,41 +1,18 @@
 """Intermediate tables in the folder that all executors share.
 
 ``spark.checkpoint.dir`` names that folder; only where it is unset (tests, a laptop) a folder of our own is used.
+Rows here are whole documents. Spark bounds the Arrow batches that workers get by rows and by bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set), so the operators change no setting of the session.
 Tables are Parquet written by Spark's committer, so a lost executor costs a task retry and never a result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.plans.scratch import clear, delete, shared_folder
 
-__all__ = ["Scratch", "clear", "small_batches", "text_batches"]
-
-TEXT_BATCH = 512
-
-
-def text_batches(spark: SparkSession) -> SparkSession:
-    """Keep the session's Arrow batches to TEXT_BATCH rows: rows here are whole documents, and Spark bounds batches by rows only."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
-        spark.conf.set(name, str(TEXT_BATCH))
-    return spark
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of that many rows in what is executed meanwhile, for rows that are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+__all__ = ["Scratch", "clear"]
 
 
 class Scratch:

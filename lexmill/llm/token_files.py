@@ -1,17 +1,20 @@
 """Token ids in shard files with keyed access: raw id payloads and a minimal perfect hash index over document keys.
 
-File format: a folder with two Parquet tables, so writing and reading go through Spark's committer and any file system
+File format: a folder with three Parquet tables, so writing and reading go through Spark's committer and any file system
 that Spark reads. ``shards`` has a row a shard: its place (part, shard), the first id's offset within the part, the raw
 little-endian ids (16 bits where the vocabulary allows, else 32), the document keys in order, and the index. ``parts``
-is the manifest: the ids before each part. Parts are ranges of doc_id, shards follow each other within a part.
+is the manifest: the ids before each part. ``routes`` has a row a shard too: its first and last doc_id, and the file that
+holds it. Parts are ranges of (doc_id, text hash), shards follow each other within a part, and either may begin inside
+the rows of one doc_id, so a doc_id that very many rows share is split like any others.
 
 Index: keys are placed level by level in bit arrays of twice their number, keys that collide go on to the next level,
-and a key's slot is the rank of its bit, so n keys have the slots 0 to n - 1. A slot holds a 32-bit fingerprint of its
-key, which exposes foreign keys, and the document's offset and length in the payload. A lookup reads a constant expected
-number of bits.
+and a key's slot is the rank of its bit, so n keys have the slots 0 to n - 1. The ranks at every 512th bit are stored, so
+a rank takes one of them and the bits of one block. A slot holds a 32-bit fingerprint of its key, which exposes foreign
+keys, and the document's offset and length in the payload. A lookup reads a constant expected number of bytes whatever
+the shard's size, and ``read_keys`` opens only the shards whose range holds a key.
 
 Defined cases: null text is empty and has the end id only; a null doc_id is a key and comes before all others; repeated
-rows of one doc_id are keyed by (doc_id, occurrence), in the order of their texts' hashes; an empty table gives an empty
+rows of one doc_id are keyed by (doc_id, occurrence within the shard), in the order of their texts' hashes; an empty table gives an empty
 folder's tables; columns other than doc_id and text are not read.
 """
 
@@ -30,36 +33,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexmill.llm.bpe import gather
-from lexmill.llm.store import text_batches
 from lexmill.llm.textbytes import STEP, mix, text_bytes
 
 #: Bytes of text encoded together, pieces kept for later texts, pieces in one call.
 SLAB, KEPT, JOINED = 32 << 20, 1_000_000, 512
 SHARD_IDS, SHARD_DOCS = 1 << 21, 1 << 16
 LEVELS = 48
+#: Bytes of bits between two stored ranks.
+BLOCK = 64
 BLANKS = np.frombuffer(b"\t\n\r", np.uint8)
 NULL_KEY = np.uint64(0x5EED0F0000000001)
 
-SHARDS = "part int, shard int, start_in_part long, n_ids long, width int, payload binary, keys array<long>, levels binary, bits binary, prints binary, offsets binary, lengths binary"
+SHARDS = "part int, shard int, start_in_part long, n_ids long, width int, payload binary, keys array<long>, levels binary, bits binary, ranks binary, prints binary, offsets binary, lengths binary"
 
 
-def key_hashes(ids: list[int | None]) -> np.ndarray:
+def occurrence_keys(ids: list[int | None], nth: np.ndarray | int) -> np.ndarray:
     """64-bit keys of (doc_id, occurrence): one-to-one for first occurrences."""
+    nth = np.broadcast_to(np.asarray(nth, np.uint64), len(ids))
+    base = np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64)
+    key = mix(base + STEP) ^ np.where(nth > 0, mix(nth + np.uint64(7)), np.uint64(0))
+    return np.where(np.array([x is None for x in ids], bool), mix(NULL_KEY + nth), key)
+
+
+def key_hashes(ids: list[int | None]) -> np.ndarray:
+    """The keys of a shard's documents, occurrences of one doc_id numbered from 0."""
     seen: dict[int | None, int] = {}
     nth = np.zeros(len(ids), np.uint64)
     for i, x in enumerate(ids):
         nth[i] = seen[x] = seen.get(x, -1) + 1
-    base = np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64)
-    key = mix(base + STEP) ^ np.where(nth > 0, mix(nth + np.uint64(7)), np.uint64(0))
-    return np.where([x is None for x in ids], mix(NULL_KEY + nth), key)
+    return occurrence_keys(ids, nth)
 
 
 def _at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mix(keys + np.uint64(int(STEP) * (2 * level + 1) % (1 << 64))) % np.uint64(size)).astype(np.int64)
 
 
-def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sizes of the levels and the packed bits of a minimal perfect hash of distinct keys."""
+def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sizes of the levels, the packed bits and the ranks of their blocks of a minimal perfect hash of distinct keys."""
     sizes, bits, left = [], [], keys
     for level in range(LEVELS):
         if not len(left):
@@ -72,19 +82,28 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left = left[~single[at]]
     if len(left):
         raise ValueError("document keys are not distinct")
-    return np.array(sizes, np.int64), np.packbits(np.concatenate(bits)) if bits else np.zeros(0, np.uint8)
+    every = np.concatenate(bits) if bits else np.zeros(0, bool)
+    blocks = np.pad(every, (0, -len(every) % (8 * BLOCK))).reshape(-1, 8 * BLOCK)
+    return np.array(sizes, np.int64), np.packbits(blocks), np.cumsum(np.append(0, blocks.sum(axis=1)))[:-1]
+
 
+def _ranks(at: np.ndarray, packed: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """How many bits are set before each place: the block's rank and the bits of the block before the place."""
+    block, byte = at // (8 * BLOCK), at // 8 % BLOCK
+    own = packed.reshape(-1, BLOCK)[block]
+    before = np.where(np.arange(BLOCK) < byte[:, None], own, 0)
+    part = own[np.arange(len(at)), byte] >> (8 - at % 8).astype(np.uint8)
+    return ranks[block] + np.bitwise_count(before).sum(axis=1, dtype=np.int64) + np.bitwise_count(np.where(at % 8 > 0, part, 0))
 
-def slots(keys: np.ndarray, sizes: np.ndarray, packed: np.ndarray) -> np.ndarray:
+
+def slots(keys: np.ndarray, sizes: np.ndarray, packed: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The slot of each key, -1 where no level has it."""
-    bits = np.unpackbits(packed)[: int(sizes.sum())]
-    rank = np.cumsum(bits) - bits
     out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
     base = 0
     for level, size in enumerate(sizes.tolist()):
         at = base + _at(keys[open_], level, size)
-        hit = bits[at] == 1
-        out[open_[hit]] = rank[at[hit]]
+        hit = packed[at // 8] >> (7 - at % 8).astype(np.uint8) & 1 == 1
+        out[open_[hit]] = _ranks(at[hit], packed, ranks)
         open_ = open_[~hit]
         base += size
     return out
@@ -216,13 +235,13 @@ _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 def _shard_row(part: int, shard: int, start: int, ids: np.ndarray, keys: list, lens: np.ndarray, width: int) -> dict:
     hashed = key_hashes(keys)
-    sizes, bits = build_index(hashed)
-    at = slots(hashed, sizes, bits)
+    sizes, bits, ranks = build_index(hashed)
+    at = slots(hashed, sizes, bits, ranks)
     prints, offsets, lengths = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     prints[at], offsets[at], lengths[at] = fingerprints(hashed), np.cumsum(lens) - lens, lens
     return {
         "part": part, "shard": shard, "start_in_part": start, "n_ids": len(ids), "width": width, "payload": ids.astype(f"<u{width}").tobytes(), "keys": keys,
-        "levels": sizes.astype("<i8").tobytes(), "bits": bits.tobytes(), "prints": prints.astype("<u4").tobytes(), "offsets": offsets.astype("<i8").tobytes(), "lengths": lengths.astype("<i8").tobytes(),
+        "levels": sizes.astype("<i8").tobytes(), "bits": bits.tobytes(), "ranks": ranks.astype("<i8").tobytes(), "prints": prints.astype("<u4").tobytes(), "offsets": offsets.astype("<i8").tobytes(), "lengths": lengths.astype("<i8").tobytes(),
     }
 
 
@@ -231,7 +250,7 @@ def _write(shared, name: str, end_id: int):
         if (name, end_id) not in _ENCODERS:
             _ENCODERS[name, end_id] = PieceEncoder(shared.value, end_id)
         enc, part = _ENCODERS[name, end_id], TaskContext.get().partitionId()
-        schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("payload", pa.binary()), ("keys", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("levels", "bits", "prints", "offsets", "lengths")]])
+        schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("payload", pa.binary()), ("keys", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("levels", "bits", "ranks", "prints", "offsets", "lengths")]])
         width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
         shard = start = 0
 
@@ -245,7 +264,7 @@ def _write(shared, name: str, end_id: int):
             while a < len(keys):
                 b = a + 1
                 size = int(lens[a])
-                while b < len(keys) and (keys[b] == keys[b - 1] or b - a < SHARD_DOCS and size + lens[b] <= SHARD_IDS):
+                while b < len(keys) and b - a < SHARD_DOCS and size + lens[b] <= SHARD_IDS:
                     size += int(lens[b])
                     b += 1
                 ids = gather(enc.ids, offs, enc.lens, entries[at[a] : at[b]])
@@ -260,8 +279,7 @@ def _write(shared, name: str, end_id: int):
                 rows = batch.slice(k, 1000)
                 if not rows.num_rows:
                     continue
-                # rows of one doc_id share a shard, so that occurrences are numbered within it
-                if size >= SLAB and rows.column(0)[0].as_py() != held[-1].column(0)[-1].as_py():
+                if size >= SLAB:
                     yield from flush(held)
                     held, size = [], 0
                 held.append(rows)
@@ -274,21 +292,27 @@ def _write(shared, name: str, end_id: int):
 
 def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, parts: int | None = None) -> None:
     """Encode every text of ``docs`` (doc_id, text), append ``end_id``, and write the folder ``path``."""
-    spark = text_batches(docs.sparkSession)
+    spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # equal rows are told apart by the task that read them, so that ranges can split a doc_id that very many rows share
+    order = [F.col("doc_id").asc_nulls_first(), "h", "task"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("task"))
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(_write(shared, vocabulary, end_id), SHARDS).write.parquet(f"{path}/shards")
-    sums = spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    written = spark.read.schema(SHARDS).parquet(f"{path}/shards")
+    sums = written.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     before = F.sum("n_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     sums.select("part", "n_ids", F.coalesce(before, F.lit(0)).alias("start")).write.parquet(f"{path}/parts")
+    keys = F.col("keys")
+    routes = written.select("part", "shard", F.exists(keys, lambda x: x.isNull()).alias("has_null"), F.array_min(keys).alias("first_id"), F.array_max(keys).alias("last_id"), F.col("_metadata.file_path").alias("file"))
+    routes.write.parquet(f"{path}/routes")
 
 
 def lookup(shard: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offset, length) in the payload of each hashed key; -1 where its fingerprint shows that the shard lacks it."""
-    at = slots(keys, np.frombuffer(shard["levels"], "<i8"), np.frombuffer(shard["bits"], np.uint8))
+    at = slots(keys, *(np.frombuffer(shard[x], kind) for x, kind in (("levels", "<i8"), ("bits", np.uint8), ("ranks", "<i8"))))
     prints, offsets, lengths = np.frombuffer(shard["prints"], "<u4"), np.frombuffer(shard["offsets"], "<i8"), np.frombuffer(shard["lengths"], "<i8")
     there = (at >= 0) & (prints[at] == fingerprints(keys)) if len(prints) else np.zeros(len(keys), bool)
     return np.where(there, offsets[at] if len(prints) else 0, -1), np.where(there, lengths[at] if len(prints) else 0, -1)
@@ -322,3 +346,43 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     parts = spark.read.schema("part int, n_ids long, start long").parquet(f"{path}/parts")
     # the manifest has a row a part: as many as the partitions it was written with
     return rows.join(F.broadcast(parts.select("part", "start")), "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *ids)
+
+
+def _find(asked: list[int | None]):
+    """The occurrences of each asked id in each shard, through its index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.to_pylist():
+                payload, rows, left, nth = memoryview(shard["payload"]), [], list(asked), 0
+                while left:
+                    offsets, lengths = lookup(shard, occurrence_keys(left, nth))
+                    for x, o, k in zip(left, offsets.tolist(), lengths.tolist()):
+                        if o >= 0:
+                            ids = np.frombuffer(payload[o * shard["width"] : (o + k) * shard["width"]], f"<u{shard['width']}").astype("<u4")
+                            rows.append((shard["part"], x, shard["start_in_part"] + o, k, ids.tobytes()))
+                    left, nth = [x for x, o in zip(left, offsets.tolist()) if o >= 0], nth + 1
+                part, doc_id, at, n_tokens, raw = zip(*rows) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(at, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(raw, pa.binary())], ["part", "doc_id", "at", "n_tokens", "ids"])
+
+    return run
+
+
+def read_keys(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
+    """doc_id, start, n_tokens and ids of every row of the given documents: a few, as they are part of the plan.
+
+    Only the files are opened, and of them the shards read, whose ranges hold one of the ids. A row of another document
+    with the same fingerprint is let through with a probability of 2^-32 an id and shard.
+    """
+    routes = spark.read.parquet(f"{path}/routes")
+    near = F.lit(False)
+    for x in doc_ids:
+        near = near | (F.col("has_null") if x is None else F.lit(x).between(F.col("first_id"), F.col("last_id")))
+    there = routes.where(near).select("file", "part", "shard").collect()
+    shards = spark.read.schema(SHARDS).parquet(*sorted({r.file for r in there})) if there else spark.createDataFrame([], SHARDS)
+    which = F.lit(False)
+    for r in there:
+        which = which | ((F.col("part") == r.part) & (F.col("shard") == r.shard))
+    rows = shards.where(which).mapInArrow(_find(sorted(set(doc_ids), key=lambda x: (x is not None, x))), "part int, doc_id long, at long, n_tokens long, ids binary")
+    parts = spark.read.schema("part int, n_ids long, start long").parquet(f"{path}/parts")
+    return rows.join(F.broadcast(parts.select("part", "start")), "part").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids")

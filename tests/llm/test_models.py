@@ -135,8 +135,6 @@ def test_connected(spark):
 def test_scratch(spark):
     s = store.Scratch(spark, "test")
     assert s.cut(spark.range(5), "a").count() == 5
-    with store.small_batches(spark, 7):
-        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
     s.drop("a")
     store.clear()
 

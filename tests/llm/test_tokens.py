@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -110,9 +111,48 @@ def test_pieces_with_markers_in_any_case_equal_the_library(libraries, texts):
 @given(st.lists(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1)), max_size=200))
 def test_index_is_minimal_and_perfect(ids):
     keys = tf.key_hashes(ids)
-    sizes, bits = tf.build_index(keys)
-    at = tf.slots(keys, sizes, bits) if len(keys) else np.zeros(0, int)
+    sizes, bits, ranks = tf.build_index(keys)
+    at = tf.slots(keys, sizes, bits, ranks) if len(keys) else np.zeros(0, int)
     assert sorted(at.tolist()) == list(range(len(ids)))
+    bit = np.unpackbits(bits)
+    assert (tf._ranks(np.arange(len(bit)), bits, ranks) == np.cumsum(bit) - bit).all()
+
+
+def test_lookups_take_as_long_in_large_shards():
+    took = {}
+    for n in (1 << 16, 1 << 20):
+        keys = tf.occurrence_keys(list(range(n)), 0)
+        index = tf.build_index(keys)
+        few = keys[:: n // 200]
+        tf.slots(few, *index)
+        took[n] = min(_seconds(lambda: tf.slots(few, *index)) for _ in range(20))
+    assert took[1 << 20] < 4 * took[1 << 16]
+
+
+def _seconds(call):
+    start = time.perf_counter()
+    call()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_files_split_a_hot_document(spark, libraries, tmp_path, monkeypatch, hot):
+    rows = [(hot, f"same {i % 3}", None, None) for i in range(400)] + [(100 + i, f"other {i}", None, None) for i in range(800)]
+    docs = documents(spark, rows).repartition(8)
+    tf.write_shards(docs, WORD, str(tmp_path / "f"), parts=6)
+    parts = spark.read.parquet(str(tmp_path / "f" / "shards")).selectExpr("part", "size(keys) AS n", "size(filter(keys, x -> x <=> %s)) AS hot" % ("NULL" if hot is None else hot)).collect()
+    assert sum(r.hot > 0 for r in parts) > 1 and max(r.n for r in parts) < 500
+    got = sorted(tf.read_shards(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
+    want = sorted((d is not None, d, tuple(libraries[1].encode(t, add_special_tokens=False).ids) + (2,)) for d, t, *_ in rows)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    assert [(d is not None, d) for d in (r.doc_id for r in got)] == [w[:2] for w in want]
+    assert sorted((r.doc_id is not None, r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    asked = [hot, 105, 899, 5000]
+    found = sorted(tf.read_keys(spark, str(tmp_path / "f"), asked).collect(), key=lambda r: r.start)
+    assert found == [type(found[0])(doc_id=r.doc_id, start=r.start, n_tokens=r.n_tokens, ids=r.ids) for r in got if r.doc_id in asked]
+    one = tf.read_keys(spark, str(tmp_path / "f"), [105])
+    assert one.count() == 1 and len([f for f in one.inputFiles() if "/shards/" in f]) == 1
+    assert tf.read_keys(spark, str(tmp_path / "f"), [-5]).count() == 0
 
 
 def test_foreign_keys_show():
