@@ -2,19 +2,21 @@
 
 A text's k-mers of characters are numbered by occurrence (the second "abcde" differs from the first) and hashed. The
 hash's leading bits deal them out over ``SLOTS`` slots; in each slot the ``PICK`` k-mers of smallest hash are selected,
-put back into text order, and their tuple is hashed to one 16-bit value. Moving or editing part of a text changes which
-k-mers are selected or the order they stand in. The likeness of two fingerprints is the share of equal values among
-slots that are filled in either. Hashing each k-mer once, where independent draws would hash it once a slot, keeps the
-cost linear in the text.
+put back into text order, and their tuple is hashed to one 16-bit value. A slot that got fewer than that takes those of
+smallest hash, by a hash of its own, among all k-mers of the text, so a slot's value always tells an order. Moving or
+editing part of a text changes which k-mers are selected or the order they stand in. The likeness of two fingerprints is
+the share of equal values among slots that are filled in either. Order MinHash as published hashes every k-mer once a
+slot; here that is done for the slots that need it, few but in short texts, which keeps the cost linear in the text.
 
-``lexmill.llm.fingerprint`` also holds the rule of the edited text: each document's last half gives way to the head of
-the next document in ascending doc_id, the last document's to the first's. Documents are range-partitioned by doc_id;
-the first document of each partition travels to the one before it as well, so no more than a row a partition moves twice.
+``compare_neighbours`` also holds the rule of the edited text: each document's last half gives way to the head of the
+next document in ascending doc_id, the last document's to the first's. Rows are dealt over ranges of (doc_id, text hash),
+so one doc_id may fill many ranges; rows alike in both are one row with a count of copies. The first row of each range
+travels to the one before it as well, so no more than a row a range moves twice.
 
 Defined cases: a null or empty text has no k-mers and the fingerprint of empty texts; a text shorter than k is one
 k-mer; two empty fingerprints are alike by 1, an empty and a filled one by 0; rows with null doc_id come first, rows of
-one doc_id follow each other in the order of their texts' hashes; a single document is its own next; an empty table
-gives an empty result; other columns are not read.
+one doc_id follow each other in the order of their texts' hashes, equal rows directly, each the next of the one before;
+a single document is its own next; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.store import Scratch
 from lexmill.llm.textbytes import STEP, mix
 
 K, SLOTS, PICK = 5, 128, 2
 SHIFT = np.uint64(64 - 7)
+OWN = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * STEP)
+#: Copies that one row of the stream stands for at most.
+TIMES = 1 << 16
 EMPTY = 0
 
 
@@ -63,11 +69,13 @@ def fingerprint(text: str) -> np.ndarray:
     counts = np.append(starts[1:], len(slot)) - starts
     first = by[np.minimum(starts, len(by) - 1)]
     second = by[np.minimum(starts + 1, len(by) - 1)]
-    lone = counts < 2
+    if n < PICK:
+        return np.full(SLOTS, max(1, int(mix(keys)[0] >> np.uint64(48))), np.uint16)
+    few = np.flatnonzero(counts < PICK)
+    if len(few):
+        first[few], second[few] = np.argpartition(mix(keys ^ OWN[few, None]), 1, axis=1)[:, :PICK].T
     a, b = np.minimum(first, second), np.maximum(first, second)
-    pair = mix(mix(keys[a]) + keys[b] * STEP)
-    value = np.where(lone, mix(keys[first]), pair) >> np.uint64(48)
-    return np.where(counts > 0, np.maximum(value, np.uint64(1)), np.uint64(0)).astype(np.uint16)
+    return np.maximum(mix(mix(keys[a]) + keys[b] * STEP) >> np.uint64(48), np.uint64(1)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -84,57 +92,78 @@ def edited(text: str, after: str) -> str:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with its successor in the stream. The last row of a part is a loan from the next part: it only follows."""
     before = None
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("times", pa.int32())])
 
-    def one(now: tuple, after: str) -> dict:
-        doc_id, text, own, _ = now
+    def one(now: tuple, after: str, nxt: np.ndarray, times: int = 1) -> dict:
+        doc_id, text, own, *_ = now
         changed = edited(text, after)
-        other, nxt = fingerprint(changed), fingerprint(after)
+        other = fingerprint(changed)
         return {
             "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(), "fingerprint": own.tobytes().hex(), "edited_fingerprint": other.tobytes().hex(),
-            "near_edited": likeness(own, other), "near_next": likeness(own, nxt), "_next": nxt,
+            "near_edited": likeness(own, other), "near_next": likeness(own, nxt), "times": times,
         }
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     for batch in batches:
         rows, names = [], batch.schema.names
-        ids, loans = batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("loan")).to_pylist()
-        for doc_id, loan, x in zip(ids, loans, batch.column(names.index("text"))):
+        ids, loans, copies = (batch.column(names.index(x)).to_pylist() for x in ("doc_id", "loan", "copies"))
+        for doc_id, loan, n, x in zip(ids, loans, copies, batch.column(names.index("text"))):
             text = x.as_py() or ""
-            if before is None:
-                before = (doc_id, text, fingerprint(text), loan)
-                continue
-            row = one(before, text)
-            before = (doc_id, text, row.pop("_next"), loan)
-            rows.append(row)
+            now = (doc_id, text, fingerprint(text), loan)
+            if before is not None:
+                rows.append(one(before, text, now[2]))
+            if n > 1 and not loan:  # all copies but the last are followed by a copy
+                same = one(now, text, now[2])
+                rows += [same | {"times": min(TIMES, n - 1 - k)} for k in range(0, n - 1, TIMES)]
+            before = now
         yield pa.RecordBatch.from_pylist(rows, schema)
     if before is not None and not before[3]:
         raise ValueError("a part ends without the head of the next one")
 
 
+def places(known: np.ndarray, ids: np.ndarray, ties: np.ndarray, heads: list[tuple]) -> np.ndarray:
+    """The last of the ascending heads (doc_id, tie), null ids first, that is not above each row's key."""
+    nulls = sum(x is None for x, _ in heads)
+    head_ids, head_ties = np.array([x for x, _ in heads[nulls:]], np.int64), np.array([t for _, t in heads], np.int64)
+    low = np.where(known, nulls + np.searchsorted(head_ids, ids, "left"), 0)
+    high = np.where(known, nulls + np.searchsorted(head_ids, ids, "right"), nulls)
+    out = low.copy()
+    for at in np.unique(low[low < high]).tolist():  # ids that are heads' own
+        mine = np.flatnonzero((low == at) & (low < high))
+        out[mine] = at + np.searchsorted(head_ties[at : high[mine[0]]], ties[mine], "right")
+    return out - 1
+
+
 def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "neighbours")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    # ranges of doc_id from a pass over ids alone, four a task so that tasks get even shares; one doc_id is in one range
-    points = [i / (4 * n) for i in range(1, 4 * n)]
-    cuts = np.array(sorted(set(keyed.agg(F.percentile_approx("doc_id", points, F.lit(80 * n))).first()[0] or [])), np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    keys = scratch.cut(rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("copies")), "keys")
+    again = keys.where(F.col("copies") > 1).select(F.col("doc_id").alias("id"), F.col("tie").alias("t"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t"))
+    once = rows.join(again, same, "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    # written, so that the join may split a row with very many copies and the choice of one combines before its shuffle
+    many = scratch.cut(rows.join(again, same).select("doc_id", "text", "tie", "copies"), "many")
+    every = once.unionByName(many.groupBy("doc_id", "tie").agg(F.first("text").alias("text"), F.first("copies").alias("copies")))
+    # ranges from the keys alone, four a task so that tasks get even shares; their heads, a row a range, go to the driver
+    head = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.col("tie").alias("t"))).alias("h")
+    ranges = keys.select("doc_id", "tie").repartitionByRange(4 * n, F.col("doc_id").asc_nulls_first(), "tie")
+    heads = [(r.h.id, r.h.t) for r in sorted(ranges.groupBy(F.spark_partition_id()).agg(head).select("h").collect(), key=lambda r: (r.h.known, r.h.id or 0, r.h.t))]
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        return pd.Series(np.where(known, np.searchsorted(cuts, ids.fillna(0).to_numpy().astype(np.int64), "right"), 0), dtype="int32")
-
-    ranged = keyed.withColumn("part", part_of("doc_id"))
-    head = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), "tie"))
-    order = sorted(ranged.groupBy("part").agg(head.alias("head")).select("part", "head.id", "head.tie").collect())
-    # a row a part: as many as the parts asked for, which bounds the broadcast
-    lent = spark.createDataFrame([(x.part, x.id, x.tie, order[i - 1].part) for i, x in enumerate(order)], "part int, id long, first_tie long, to int")
-    loans = ranged.join(F.broadcast(lent), "part").where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("first_tie"))).dropDuplicates(["to"])
-    every = ranged.select("part", "doc_id", "text", F.lit(False).alias("loan"), "tie").unionByName(loans.select(F.col("to").alias("part"), "doc_id", "text", F.lit(True).alias("loan"), "tie"))
-    rows = every.repartition(n, "part").sortWithinPartitions("part", "loan", F.col("doc_id").asc_nulls_first(), "tie")
-    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.select("part", "doc_id", "text", "loan").mapInArrow(_by_part, out)
+    def part_of(known: pd.Series, ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(places(known.to_numpy(), ids.to_numpy(), ties.to_numpy(), heads), dtype="int32")
+
+    ranged = every.withColumn("part", part_of(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "tie"))
+    # a row a range: as many as the ranges asked for, which bounds the broadcast
+    lent = spark.createDataFrame([(x, t, (i - 1) % len(heads)) for i, (x, t) in enumerate(heads)], "id long, t long, to int")
+    loans = every.join(F.broadcast(lent), same).select(F.col("to").alias("part"), "doc_id", "text", "copies", F.lit(True).alias("loan"), "tie")
+    both = ranged.select("part", "doc_id", "text", "copies", F.lit(False).alias("loan"), "tie").unionByName(loans)
+    both = both.repartition(n, "part").sortWithinPartitions("part", "loan", F.col("doc_id").asc_nulls_first(), "tie")
+    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times int"
+    found = both.select("part", "doc_id", "text", "copies", "loan").mapInArrow(_by_part, out)
+    return found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "nth")
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
