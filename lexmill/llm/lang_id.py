@@ -1,34 +1,37 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads windows of a text's lower-cased UTF-8 bytes (a run between white space, in pieces of at most 24
-bytes), a forward and a backward gated recurrence see every byte, and a softmax over both states labels every position.
-A document's probabilities are the mean over the positions of its windows that hold letters. Training is numpy on the
-driver: backpropagation through time with Adam over windows of a bounded, hash-chosen sample of rows (``docs_per_lang``
-documents a language, ``windows`` windows a document); prediction reads every whole text. Equal windows have equal
-outputs, so a worker evaluates each distinct window once and keeps its sums for later texts, up to a bound.
+The network reads running text: a text's lower-cased UTF-8 bytes, blanks, marks and all, in consecutive windows of about
+``STRIDE`` bytes cut on character bounds. A forward and a backward gated recurrence see every byte of a window, across
+words, and a softmax over both states labels every position. A document's probabilities are the mean over the positions
+that hold bytes of letters. Training is numpy on the driver: backpropagation through time with Adam over windows of a
+bounded, hash-chosen sample of rows (``docs_per_lang`` documents a language, ``windows`` windows of each, drawn from the
+whole text); prediction reads every whole text, and keeps nothing between batches.
 
 Defined cases: null text or text without any letter is ``und`` with score 0; null languages are not learned; without
 training rows everything is ``und``; ties go to the language first in code point order; repeated rows get equal results;
-an empty table gives an empty result; columns named lang_pred or score give way.
+an empty table gives an empty result; columns named lang_pred or score give way; NUL characters count as blanks. The
+softmax needs few languages: over a thousand distinct values of lang are refused.
 """
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lexmill.llm.sampling import thin, trainable
+from lexmill.llm.textbytes import text_bytes
 
-WINDOW = 24
-SLAB, KEPT = 32 << 20, 600_000
+#: Bytes from one window's start to the next, up to a character's bound; columns of a window; windows run at once.
+STRIDE, STEPS, ROWS = 61, 64, 1024
+SLAB = 8 << 20
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -65,7 +68,7 @@ class Direction:
         """Gradients of e, u and b by backpropagation through time."""
         hid = self.u.shape[0]
         de, du, db = np.zeros_like(self.e), np.zeros_like(self.u), np.zeros_like(self.b)
-        carry = np.zeros_like(d_out[0])
+        carry, inputs = np.zeros_like(d_out[0]), np.empty((*x.shape, 3 * hid), self.u.dtype)
         for t in range(x.shape[0] - 1, -1, -1):
             h, z, r, c, n = tape[t]
             d = carry + d_out[t]
@@ -75,10 +78,13 @@ class Direction:
             dr, dc = da * c, da * r
             di = np.concatenate([dz * z * (1 - z), dr * r * (1 - r), da], axis=1)
             ds = np.concatenate([di[:, : 2 * hid], dc], axis=1)
-            np.add.at(de, x[t], di)
+            inputs[t] = di
             du += h.T @ ds
             db += dc.sum(0)
             carry = np.where(on, d * z, d) + ds @ self.u.T
+        order = np.argsort(x, axis=None, kind="stable")
+        seen, first = np.unique(x.ravel()[order], return_index=True)
+        de[seen] = np.add.reduceat(inputs.reshape(-1, 3 * hid)[order], first)
         return de, du, db
 
 
@@ -118,6 +124,67 @@ class Network:
         return [self.w, self.c, self.ahead.e, self.ahead.u, self.ahead.b, self.behind.e, self.behind.u, self.behind.b]
 
 
+class _Fast:
+    """A direction for prediction: gates apart, so that all arrays are contiguous, and without a tape.
+
+    A gate is (1 + tanh(a / 2)) / 2: the halves are in the weights. Byte 0, which pads, keeps the state as it is.
+    """
+
+    def __init__(self, d: Direction):
+        hid = d.u.shape[0]
+        cut = lambda a, k, by: np.ascontiguousarray(a[:, k * hid : (k + 1) * hid] * np.float32(by), np.float32)
+        self.e = [cut(d.e, 0, 0.5), cut(d.e, 1, 0.5), cut(d.e, 2, 1)]
+        self.u = [cut(d.u, k, 0.5) for k in range(3)]
+        self.b = (d.b * 0.5).astype(np.float32)
+        self.e[0][0] = 30.0
+
+    def states(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """The states at each step of byte columns ``x``; each is overwritten by the one after the next."""
+        n, hid = x.shape[1], len(self.b)
+        h, new = np.zeros((n, hid), np.float32), np.empty((n, hid), np.float32)
+        z, r, c, i = (np.empty((n, hid), np.float32) for _ in range(4))
+        for at in x.astype(np.intp):
+            for s, e, u in zip((z, r), self.e, self.u):
+                np.matmul(h, u, out=s)
+                s += np.take(e, at, axis=0, out=i, mode="clip")
+                np.tanh(s, out=s)
+                s += 1.0
+            np.matmul(h, self.u[2], out=c)
+            c += self.b
+            c *= r
+            c += np.take(self.e[2], at, axis=0, out=i, mode="clip")
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=new)
+            z *= 0.5
+            new *= z
+            new += c
+            h, new = new, h
+            yield h
+
+
+class Reader:
+    """A network for prediction."""
+
+    def __init__(self, net: Network):
+        self.langs, hid = net.langs, net.ahead.u.shape[0]
+        self.ahead, self.behind = _Fast(net.ahead), _Fast(net.behind)
+        self.w, self.c = [np.ascontiguousarray(w.T, np.float32) for w in (net.w[:hid], net.w[hid:])], net.c.astype(np.float32)[:, None]
+
+    def letter_sums(self, x: np.ndarray) -> np.ndarray:
+        """For each row of byte columns ``x`` (0 pads) the probabilities summed over its letters' positions."""
+        later = [self.w[1] @ h.T for h in self.behind.states(x[::-1])]
+        sums, letters = np.zeros((len(self.c), x.shape[1]), np.float32), LETTER[x].astype(np.float32)
+        for a, b, on in zip(self.ahead.states(x), reversed(later), letters):
+            p = self.w[0] @ a.T
+            p += b
+            p += self.c
+            p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p *= on / p.sum(axis=0)
+            sums += p
+        return sums.T
+
+
 def _softmax(a: np.ndarray) -> np.ndarray:
     a = np.exp(a - a.max(axis=-1, keepdims=True))
     return a / a.sum(axis=-1, keepdims=True)
@@ -137,16 +204,31 @@ def columns(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.arange(steps)[:, None] < lens
 
 
-def windows_of(text: str) -> list[bytes]:
-    """A text's windows."""
-    out = []
-    for run in text.lower().split():
-        raw = run.encode()
-        out.extend(raw[k : k + WINDOW] for k in range(0, len(raw), WINDOW))
-    return out
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the lower-cased texts, NULs as blanks, and each text's bounds."""
+    data, offs = text_bytes(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())))
+    return np.where(data == 0, np.uint8(32), data), offs
+
 
+def window_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and text of each window of all texts: they tile the texts and cut no character."""
+    count = -(-np.diff(offs) // STRIDE)
+    text = np.repeat(np.arange(len(count)), count)
+    start = offs[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+    for _ in range(3):
+        start = start - ((data[start] & 0xC0 == 0x80) & (start > offs[text]))
+    end = np.append(start[1:], offs[-1])
+    last = np.append(text[1:] != text[:-1], True) if len(text) else np.zeros(0, bool)
+    return start, np.where(last, offs[text + 1], end) - start if len(text) else start, text
 
-def train(langs: list[str], sample: list[tuple[str, bytes]], hidden: int = 24, steps: int = 700, batch: int = 192, seed: int = 3) -> Network:
+
+def window_columns(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The windows as byte columns (STEPS, windows), padded by 0."""
+    at = start[None, :] + np.arange(STEPS)[:, None]
+    return np.where(np.arange(STEPS)[:, None] < length, data[np.minimum(at, len(data) - 1)], np.uint8(0))
+
+
+def train(langs: list[str], sample: list[tuple[str, bytes]], hidden: int = 16, steps: int = 150, batch: int = 96, seed: int = 3) -> Network:
     """Fit on (language, window) pairs; each language is drawn equally often."""
     rng = np.random.default_rng(seed)
     net = fresh(langs, hidden, seed)
@@ -165,100 +247,46 @@ def train(langs: list[str], sample: list[tuple[str, bytes]], hidden: int = 24, s
     return net
 
 
-def window_sums(net: Network, windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Summed probabilities over each window's positions, and their number; 0 for windows without letters."""
-    sums, counts = np.zeros((len(windows), len(net.langs))), np.zeros(len(windows), np.int64)
-    lens = np.array([len(w) for w in windows])
-    has = np.array([bool(LETTER[np.frombuffer(w, np.uint8)].any()) for w in windows], bool)
-    order = np.flatnonzero(has)[np.argsort(lens[has], kind="stable")]
-    for k in range(0, len(order), 2048):
-        part = order[k : k + 2048]
-        x, live = columns([windows[i] for i in part])
-        sums[part] = (net.positions(x, live) * live[:, :, None]).sum(0)
-        counts[part] = lens[part]
-    return sums, counts
+def pooled(net: Reader, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Each text's mean probabilities over its letters' positions, zeros where it has none."""
+    n = len(offs) - 1
+    sums, start_length_text = np.zeros((n, len(net.langs))), window_bounds(data, offs)
+    for k in range(0, len(start_length_text[0]), ROWS):
+        start, length, text = (x[k : k + ROWS] for x in start_length_text)
+        got = net.letter_sums(window_columns(data, start, length))
+        heads = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        sums[text[heads]] += np.add.reduceat(got.astype(np.float64), heads)
+    letters = np.diff(np.append(0, np.cumsum(LETTER[data]))[offs])
+    return sums / np.maximum(letters, 1)[:, None]
 
 
-class _Numbered(dict):
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
+def has_letter(texts: pa.Array) -> np.ndarray:
+    """Whether each text holds a letter of any script."""
+    found = pc.match_substring_regex(texts.fill_null(""), r"\pL").to_numpy(zero_copy_only=False).astype(bool)
+    for i in np.flatnonzero(~found).tolist():
+        found[i] = any(map(str.isalpha, texts[i].as_py() or ""))
+    return found
 
 
-class Predictor:
-    def __init__(self, net: Network):
-        self.net = net
-        self.reset()
-
-    def reset(self) -> None:
-        self.known, self.sums, self.counts = _Numbered(), np.zeros((0, len(self.net.langs))), np.zeros(0, np.int64)
-
-    def numbers(self, text: str) -> np.ndarray:
-        out = []
-        for run in text.lower().split():
-            if len(run) * 4 <= WINDOW or len(raw := run.encode()) <= WINDOW:
-                out.append(self.known[run])
-            else:
-                out.extend(self.known[raw[k : k + WINDOW]] for k in range(0, len(raw), WINDOW))
-        return np.array(out, np.int64)
-
-    def pooled(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Each document's mean probabilities; zeros where it has no window with letters."""
-        new = [w if isinstance(w, bytes) else w.encode() for w in itertools.islice(self.known, len(self.counts), None)]
-        if new:
-            sums, counts = window_sums(self.net, new)
-            self.sums, self.counts = np.concatenate([self.sums, sums]), np.concatenate([self.counts, counts])
-        out = np.array([self.sums[d].sum(0) / max(1, int(self.counts[d].sum())) for d in docs]).reshape(len(docs), -1)
-        if len(self.known) > KEPT:
-            self.reset()
-        return out
-
-
-#: A worker's predictors by model, with the windows that they keep.
-_PREDICTORS: dict[int, Predictor] = {}
-
-
-def _predict(shared, name: int, at: int):
+def _predict(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        if net is not None and name not in _PREDICTORS:
-            _PREDICTORS.clear()
-            _PREDICTORS[name] = Predictor(net)
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            texts_of = [b.column(at) for b in held]
-            docs, letters = [], []
-            for column in texts_of:
-                for x in column:
-                    s = x.as_py() or ""
-                    letters.append(any(map(str.isalpha, s)))
-                    docs.append(_PREDICTORS[name].numbers(s) if net is not None else None)
-            means = _PREDICTORS[name].pooled(docs) if net is not None else np.zeros((len(docs), 1))
-            best = means.argmax(1)
-            known = np.array(letters, bool) & (means.max(1) > 0)
-            k = 0
-            for b in held:
-                n = b.num_rows
-                lang = [net.langs[best[i]] if known[i] else "und" for i in range(k, k + n)]
-                score = [float(min(1.0, means[i, best[i]])) if known[i] else 0.0 for i in range(k, k + n)]
-                k += n
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
-
-        size = 0
+        net = None if shared.value is None else Reader(shared.value)
         for batch in batches:
-            step = 0
-            while step < batch.num_rows:  # slabs of bounded bytes
-                part = batch.slice(step, 2000)
-                step += part.num_rows
-                held.append(part)
-                size += part.column(at).nbytes
-                if size >= SLAB:
-                    yield from flush()
-                    held.clear()
-                    size = 0
-        if held:
-            yield from flush()
+            lang, score = [], []
+            texts = batch.column(at)
+            a = 0
+            while a < batch.num_rows:  # slabs of bounded bytes
+                size, b = 0, a
+                while b < batch.num_rows and (b == a or size < SLAB):
+                    part = texts.slice(b, 256)
+                    size, b = size + part.nbytes, b + len(part)
+                part = texts.slice(a, b - a)
+                means = pooled(net, *lowered(part)) if net is not None else np.zeros((len(part), 1))
+                best, known = means.argmax(1), has_letter(part) & (means.max(1) > 0)
+                lang += [net.langs[i] if k else "und" for i, k in zip(best, known)]
+                score += [float(min(1.0, m[i])) if k else 0.0 for m, i, k in zip(means, best, known)]
+                a = b
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return run
 
@@ -267,21 +295,22 @@ def _sampled(windows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, out = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = text.as_py() or ""
-                rng = np.random.default_rng(zlib.crc32(s.encode()))
-                cut = int(rng.integers(0, len(s) - (1 << 16))) if len(s) > 1 << 16 else 0
-                found = [w for w in windows_of(s[cut : cut + (1 << 16)]) if LETTER[np.frombuffer(w, np.uint8)].any()]
-                pick = rng.permutation(len(found))[:windows]
-                langs += [lang] * len(pick)
-                out += [found[i] for i in pick]
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                data, offs = lowered(batch.column(1).slice(i, 1))
+                start, length, _ = window_bounds(data, offs)
+                rng = np.random.default_rng(zlib.crc32(data))
+                letters = np.append(0, np.cumsum(LETTER[data]))
+                full = np.flatnonzero(letters[start + length] > letters[start])
+                found = [data[start[k] : start[k] + length[k]].tobytes() for k in full[rng.permutation(len(full))[:windows]]]
+                langs += [lang] * len(found)
+                out += found
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "w"])
 
     return run
 
 
-def fit_languages(docs: DataFrame, docs_per_lang: int = 400, windows: int = 48, seed: int = 17) -> Network | None:
-    """Train on ``docs`` (doc_id, text, lang); a training text over 64 Ki characters gives windows of one such stretch."""
+def fit_languages(docs: DataFrame, docs_per_lang: int = 400, windows: int = 24, seed: int = 17) -> Network | None:
+    """Train on ``docs`` (doc_id, text, lang)."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     got = thin(rows, "lang", docs_per_lang, seed).select("lang", "text").mapInArrow(_sampled(windows), "lang string, w binary").collect()
     sample = sorted((r.lang, bytes(r.w)) for r in got)
@@ -293,5 +322,4 @@ def predict_languages(docs: DataFrame, net: Network | None) -> DataFrame:
     """``docs`` with lang_pred and score."""
     base = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    name = 0 if net is None else zlib.crc32(b"".join(w.tobytes() for w in net.weights()))
-    return base.mapInArrow(_predict(shared, name, base.columns.index("text")), StructType([*base.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return base.mapInArrow(_predict(shared, base.columns.index("text")), StructType([*base.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

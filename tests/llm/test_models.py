@@ -9,6 +9,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.cases import LONG, ROWS, documents
@@ -241,18 +242,38 @@ def test_languages(spark, sf):
     assert lang_id.predict_languages(documents(spark, []), None).count() == 0
 
 
-def test_kept_windows_change_nothing(monkeypatch):
+def test_windows_tile_texts_on_character_bounds():
+    texts = ["", "a" * 200, "漢字" * 100, "é" * 61, "x", "😀" * 40, "ab 漢\0" * 50]
+    data, offs = lang_id.lowered(pa.array(texts))
+    start, length, text = lang_id.window_bounds(data, offs)
+    x = lang_id.window_columns(data, start, length)
+    assert length.max() <= lang_id.STEPS and length.min() > 0
+    for i, t in enumerate(texts):
+        own = [x[:n, k].tobytes().decode() for k, n in enumerate(length.tolist()) if text[k] == i]
+        assert "".join(own) == t.replace("\0", " ") and not any(x[n:, k].any() for k, n in enumerate(length.tolist()))
+
+
+def test_pooling_equals_positions():
+    """The reader, padding, blocks and pooling against the network itself, window by window."""
+    net = lang_id.fresh(["x", "y", "z"], 6)
+    texts = ["One two three, four " * 20, "123 456", "", "É漢字 zwölf" * 30, "b" * 61, "tiny"]
+    data, offs = lang_id.lowered(pa.array(texts))
+    got = lang_id.pooled(lang_id.Reader(net), data, offs)
+    start, length, text = lang_id.window_bounds(data, offs)
+    for i in range(len(texts)):
+        sums, n = np.zeros(3), 0
+        for a, k in zip(start[text == i], length[text == i]):
+            x, live = lang_id.columns([data[a : a + k].tobytes()])
+            on = lang_id.LETTER[x[:, 0]]
+            sums, n = sums + net.positions(x, live)[on, 0].sum(0), n + on.sum()
+        assert np.allclose(got[i], sums / max(n, 1), atol=1e-4)
+    assert not got[1].any() and not got[2].any()
+
+
+def test_positions_see_past_blanks():
     net = lang_id.fresh(["x", "y"], 6)
-    texts = ["one two three", "two four", "x" * 100 + " é", "123 456"]
-    whole = lang_id.Predictor(net)
-    want = whole.pooled([whole.numbers(t) for t in texts])
-    monkeypatch.setattr(lang_id, "KEPT", 1)
-    small = lang_id.Predictor(net)
-    assert np.allclose(want, np.concatenate([small.pooled([small.numbers(t)]) for t in texts]), atol=1e-6)
-    for t, p in zip(texts[:3], want):
-        x, live = lang_id.columns(lang_id.windows_of(t))
-        assert np.allclose(net.positions(x, live)[live].mean(0), p, atol=1e-5)
-    assert not want[3].any()
+    at = lambda t: net.positions(*lang_id.columns([t]))[-1, 0]
+    assert not np.allclose(at(b"one two"), at(b"six two"), atol=1e-7)
 
 
 def brute_nearest(rows, k, kind=np.float32):
