@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
 from lexmill.config import SegmentConfig
-from lexmill.operators import dictionary, enrich, lookup, matcher
+from lexmill.operators import dictionary, enrich, lookup, matcher, relational
 from lexmill.operators.matcher import Lexicon, Segmenter
 from lexmill.plans.scratch import written
 from lexmill.sources import readers, settings
@@ -29,9 +30,16 @@ class Engine:
 
     @classmethod
     def load(cls, spark: SparkSession, directory: str, config: SegmentConfig | None = None) -> Engine:
-        """Load the Parquet dictionaries of a folder. Only the unigrams are required; bad formats raise DictionaryError."""
-        get = lambda kind, required=False: readers.load_dictionary(spark, directory, kind, required)
-        return cls(spark, get("unigram", True), get("kw"), get("weight"), get("synonyms"), get("thesaurus"), config or SegmentConfig())
+        """Load the Parquet dictionaries of a folder. Only the unigrams are required: what is wrong with others is a warning."""
+
+        def get(kind: str) -> DataFrame | None:
+            try:
+                return readers.load_dictionary(spark, directory, kind)
+            except readers.DictionaryError as e:
+                warnings.warn(f"{kind} is left out: {e}", stacklevel=3)
+                return None
+
+        return cls(spark, readers.load_dictionary(spark, directory, "unigram", True), get("kw"), get("weight"), get("synonyms"), get("thesaurus"), config or SegmentConfig())
 
     def with_settings(self, ini_path: str) -> Engine:
         return Engine(self.spark, self.unigram, self.kw, self.weight, self.synonyms, self.thesaurus_, settings.read_config(self.spark, ini_path))
@@ -49,7 +57,12 @@ class Engine:
         return [r.surface for r in enrich.rewrite_synonyms(rows, self.synonyms, ["doc_id"]).orderBy("pos").collect()]
 
     def segment_frame(self, rows: DataFrame, text: str = "text", details: bool = False) -> DataFrame:
-        """The tokens of a DataFrame's texts, batch or stream; with details their offsets, kinds and chunks."""
+        """The tokens of a DataFrame's texts, batch or stream; with details their offsets, kinds and chunks.
+
+        A dictionary too large for every worker is met by joins (for batches, without details).
+        """
+        if not rows.isStreaming and not details and matcher.too_large(self.unigram, self.config.max_term_bytes):
+            return relational.segment_rows(rows, self.unigram, self.config, text, self.config.max_term_bytes, written)
         return matcher.segment(rows, self.lexicon, self.config, text, details)
 
     def everything(self, rows: DataFrame, by: list[str], text: str = "text") -> DataFrame:

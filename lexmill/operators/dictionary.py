@@ -5,16 +5,27 @@ Dictionaries are DataFrames: (term, freq), (term, canonical) and (term, related)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexmill.functions import text as tx
 from lexmill.sources import readers
 
 
+def rejected() -> Column:
+    """Whether a record is no dictionary entry: its term is empty or its count negative."""
+    return (F.col("term") == "") | (F.col("freq") < 0)
+
+
+def rejects(records: DataFrame) -> DataFrame:
+    """The records that ``build_unigrams`` refuses."""
+    return records.where(F.col("term").isNotNull() & rejected())
+
+
 def build_unigrams(records: DataFrame) -> DataFrame:
     """One row a term; of several counts the largest holds. Terms may not be empty nor counts negative."""
-    checked = records.where(F.col("term").isNotNull()).withColumn("freq", F.when((F.col("term") == "") | (F.col("freq") < 0), F.raise_error(F.lit("a term is empty or its count negative"))).otherwise(F.col("freq")).cast("int"))
+    checked = records.where(F.col("term").isNotNull()).withColumn("freq", F.when(rejected(), F.raise_error(F.lit("a term is empty or its count negative"))).otherwise(F.col("freq")).cast("int"))
     return checked.groupBy("term").agg(F.max("freq").alias("freq"))
 
 
@@ -24,9 +35,9 @@ def count_words(docs: DataFrame, pattern: str = r"\p{L}+", text: str = "text") -
     return words.groupBy("term").agg(F.count(F.lit(1)).cast("int").alias("freq"))
 
 
-def lexicon(docs: DataFrame, min_count: int = 5, max_terms: int = 50_000) -> DataFrame:
-    """The dictionary of the ``max_terms`` most frequent words seen ``min_count`` times; its size is bounded by design."""
-    return count_words(docs).where((F.col("freq") >= min_count) & (F.octet_length("term") <= 36)).orderBy(F.col("freq").desc(), "term").limit(max_terms)
+def lexicon(docs: DataFrame, min_count: int = 1, max_bytes: int = 36) -> DataFrame:
+    """The dictionary of all words of a text column that are seen ``min_count`` times and no longer than dictionary terms may be."""
+    return count_words(docs).where((F.col("freq") >= min_count) & (F.octet_length("term") <= max_bytes))
 
 
 def merge_priority(chars: DataFrame, words: DataFrame) -> DataFrame:
@@ -55,12 +66,29 @@ def in_order(dictionary: DataFrame) -> DataFrame:
     return dictionary.orderBy("term")
 
 
+def numbered(dictionary: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The rows of a dictionary with nth, their place from 0 in order of the terms: access by index is a filter on it.
+
+    Rows are sorted in ranges; only a row a range is summed up to number them.
+    """
+    n = partitions or int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = dictionary.repartitionByRange(n, "term").withColumn("block", F.spark_partition_id())
+    sizes = ranged.groupBy("block").count()
+    before = F.sum("count").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select("block", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(W.partitionBy("block").orderBy("term")) - 1
+    return ranged.withColumn("inside", inside).join(sizes, "block").withColumn("nth", F.col("before") + F.col("inside")).drop("block", "inside", "before")
+
+
 def statistics(dictionary: DataFrame) -> DataFrame:
     return dictionary.agg(F.count(F.lit(1)).alias("terms"), F.count_if(F.col("freq") > 0).alias("nonzero"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.char_length("term")), F.lit(0)).alias("longest"))
 
 
-def save(dictionary: DataFrame, directory: str, kind: str, compression: str = "zstd") -> None:
-    dictionary.select(*readers.SCHEMAS[kind]).write.mode("overwrite").option("compression", compression).parquet(f"{directory}/{kind}")
+def save(dictionary: DataFrame, directory: str, kind: str, compression: str = "zstd", version: int = readers.VERSION) -> None:
+    """Write a dictionary in order of its terms."""
+    term = F.col("term").alias("term", metadata={readers.VERSION_KEY: version})
+    columns = [term if c == "term" else F.col(c) for c in readers.SCHEMAS[kind]]
+    in_order(dictionary).select(columns).write.mode("overwrite").option("compression", compression).parquet(f"{directory}/{kind}")
 
 
 def build_dict(spark: SparkSession, kind: str, source: str, directory: str, plain: bool = False) -> DataFrame | None:

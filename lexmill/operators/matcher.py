@@ -16,8 +16,9 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window as W
 
 from lexmill.config import SegmentConfig
 from lexmill.functions.classes import piece_pattern
+from lexmill.functions.text import BOM
 
 #: Rows of a dictionary that a worker may hold; larger ones need the relational form.
 MOST_TERMS = 2_000_000
@@ -168,102 +170,166 @@ def omni_words(run: str, starts: list[int], lexicon: Lexicon, least: int, inclus
     return sorted(found)
 
 
+class _Pieces(dict):
+    """Numbers pieces in order of arrival and cuts each once."""
+
+    def __init__(self, segmenter: Segmenter):
+        self.segmenter, self.vocabulary = segmenter, {}
+        self.words, self.sizes, self.kinds = [], [], []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        kind = self.segmenter.kind(piece)
+        found = self.segmenter.words(piece) if kind == RUN else [piece]
+        self.words += [self.vocabulary.setdefault(t, len(self.vocabulary)) for t in found]
+        self.sizes.append(len(found))
+        self.kinds.append(kind)
+        return n
+
+
+#: Kinds of pieces; tokens of a run are words.
+KINDS = ["newline", "separator", "number", "letter", "word"]
+NEWLINE, SEPARATOR, NUMBER, LETTER, RUN = range(5)
+
+
+@dataclass
+class Tokens:
+    """The tokens of some texts: how many each text has, and of each token its number in the vocabulary, bytes, kind and chunk."""
+
+    counts: np.ndarray
+    which: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    kind: np.ndarray
+    chunk: np.ndarray
+    vocabulary: pa.Array
+
+
 class Segmenter:
-    """A worker's segmenter. Runs repeat, so their words are kept, up to a bound."""
+    """A worker's segmenter. Pieces repeat, so each is cut once and its tokens are kept, up to a bound."""
 
     KEPT = 200_000
 
     def __init__(self, lexicon: Lexicon, config: SegmentConfig):
         self.lexicon, self.config = lexicon, config
         self.pattern = re.compile(piece_pattern(config.classes, config.merge, config.separate, config.joint))
-        self.run_start = re.compile(f"[^\\r\\n{config.classes.any_of('m', 'e', 'w')}]")
-        self.starts_run: dict[str, bool] = {}
         c = config.classes
-        self.kinds = [(k, re.compile(f"[{body}]")) for k, body in (("separator", c.w), ("number", c.m), ("letter", c.e)) if body]
-        self.kept: dict[str, list[str]] = {}
+        self.classes = [(k, re.compile(f"[{body}]")) for k, body in ((SEPARATOR, c.w), (NUMBER, c.m), (LETTER, c.e)) if body]
+        self.kind_of: dict[str, int] = {"\r": NEWLINE, "\n": NEWLINE}
+        self.known = _Pieces(self)
 
-    def words(self, run: str) -> list[str]:
-        got = self.kept.get(run)
+    def kind(self, piece: str) -> int:
+        got = self.kind_of.get(piece[0])
         if got is None:
-            if len(self.kept) >= self.KEPT:
-                self.kept.clear()
-            got, at = [], 0
-            for n in segment_run(run, self.lexicon, self.config.lookahead_inclusive, self.config.compat):
-                got.append(run[at : at + n])
-                at += n
-            self.kept[run] = got
+            got = self.kind_of[piece[0]] = next((k for k, r in self.classes if r.match(piece)), RUN)
         return got
 
-    def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
-        """(piece, whether it is a run of ordinary characters)."""
-        for m in self.pattern.finditer(text.split("\0", 1)[0].removeprefix("﻿")):
-            piece = m.group()
-            is_run = self.starts_run.get(piece[0])
-            if is_run is None:
-                is_run = self.starts_run[piece[0]] = self.run_start.match(piece) is not None
-            yield piece, is_run
+    def words(self, run: str) -> list[str]:
+        out, at = [], 0
+        for n in segment_run(run, self.lexicon, self.config.lookahead_inclusive, self.config.compat):
+            out.append(run[at : at + n])
+            at += n
+        return out
 
-    def detailed(self, text: str) -> list[tuple[str, int, int, str, int]]:
-        """(surface, start byte, bytes, kind, chunk) of each token.
+    def pieces(self, text: str) -> list[str]:
+        return self.pattern.findall(text.split("\0", 1)[0].removeprefix(BOM))
+
+    def tokens(self, text: str) -> list[str]:
+        return [t for p in self.pieces(text) for t in (self.words(p) if len(p) > 1 and self.kind(p) == RUN else [p])]
+
+    def cut(self, texts: list[str]) -> Tokens:
+        """The tokens of texts, by array operations over pieces that are cut once.
 
         A chunk is a run with the letters or digits, separators or line end that end it; the last token of one ends a
-        stretch within which the matcher looks ahead.
+        stretch within which the matcher looks ahead. Bytes are counted with a leading byte order mark.
         """
-        out, at, chunk, before = [], 0, 0, ""
-        for piece, is_run in self.pieces(text):
-            kind = "run" if is_run else next((k for k, r in self.kinds if r.match(piece)), "newline")
-            if before and before != "run" and not (kind == "separator" and before in ("number", "letter")):
-                chunk += 1
-            before = kind
-            for t in self.words(piece) if is_run else [piece]:
-                size = len(t.encode())
-                out.append((t, at, size, "word" if is_run else kind, chunk))
-                at += size
-        return out
-
-    def tokens(self, text: str) -> list[str]:
-        out: list[str] = []
-        for piece, is_run in self.pieces(text):
-            if is_run and len(piece) > 1:
-                out.extend(self.words(piece))
-            else:
-                out.append(piece)
-        return out
+        if len(self.known) > self.KEPT:
+            self.known = _Pieces(self)
+        number = self.known.__getitem__
+        each = [np.array(list(map(number, self.pieces(t))), np.int64) for t in texts]
+        per = np.array([len(x) for x in each], np.int64)
+        piece = np.concatenate(each) if each else np.zeros(0, np.int64)
+        flat, sizes, kinds = (np.array(x, np.int64) for x in (self.known.words, self.known.sizes, self.known.kinds))
+        n = sizes[piece]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        which = flat[np.repeat((np.cumsum(sizes) - sizes)[piece] - ends + n, n) + np.arange(total)]
+        vocabulary = pa.array(list(self.known.vocabulary), pa.string())
+        size = pc.binary_length(vocabulary).to_numpy().astype(np.int64)[which] if total else np.zeros(0, np.int64)
+        first = np.append(0, np.cumsum(per))[:-1]  # each text's first piece
+        opens, kind = np.zeros(len(piece) + 1, np.int64), kinds[piece]
+        before = kind[:-1]
+        opens[1:-1] = (before != RUN) & ~((kind[1:] == SEPARATOR) & ((before == NUMBER) | (before == LETTER)))
+        opens[first[per > 0]] = 0
+        chunk = np.cumsum(opens[:-1]) if len(piece) else np.zeros(0, np.int64)
+        text_of = np.repeat(np.arange(len(per)), per)
+        chunk = chunk - chunk[np.minimum(first, len(piece) - 1)][text_of] if len(piece) else chunk
+        counts = np.bincount(text_of, weights=n, minlength=len(per)).astype(np.int64)
+        upto, marks = np.append(0, np.cumsum(size)), np.array([len(BOM.encode()) * t.startswith(BOM) for t in texts], np.int64)
+        heads = np.append(0, np.cumsum(counts))[:-1]
+        start = upto[:-1] - np.repeat(upto[heads] - marks, counts)
+        return Tokens(counts, which, start, size, np.repeat(kind, n), np.repeat(chunk, n), vocabulary)
+
+
+def _terms(dictionary: DataFrame, max_bytes: int) -> DataFrame:
+    return dictionary.where(F.octet_length("term").between(1, max_bytes))
+
+
+def too_large(dictionary: DataFrame, max_bytes: int = 36, most: int = MOST_TERMS) -> bool:
+    """Whether a dictionary has more terms than a worker may hold."""
+    return _terms(dictionary, max_bytes).select("term").distinct().limit(most + 1).count() > most
 
 
 def collect_lexicon(dictionary: DataFrame, max_bytes: int = 36, most: int = MOST_TERMS) -> Lexicon:
     """A dictionary for the workers. Its size is checked first; a larger one takes the relational form."""
-    rows = dictionary.where(F.octet_length("term").between(1, max_bytes)).groupBy("term").agg(F.max("freq").alias("freq")).limit(most + 1).collect()
+    rows = _terms(dictionary, max_bytes).groupBy("term").agg(F.max("freq").alias("freq")).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the dictionary has over {most} terms: use lexmill.operators.relational")
     return Lexicon({r.term: r.freq for r in rows}, max_bytes)
 
 
 DETAILS = [("start_byte", IntegerType(), pa.int32()), ("byte_len", IntegerType(), pa.int32()), ("kind", StringType(), pa.string()), ("chunk", IntegerType(), pa.int32())]
+#: Texts that are cut together.
+STEP = 500
 
 
 def _map_tokens(shared, config: SegmentConfig, at: int, details: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(shared.value, config)
+        seg, kinds = Segmenter(shared.value, config), pa.array(KINDS)
         for batch in batches:
-            for step in range(0, batch.num_rows, 500):
-                part = batch.slice(step, 500)
-                found = [(seg.detailed if details else seg.tokens)(x.as_py() or "") for x in part.column(at)]
-                source = pa.array([i for i, got in enumerate(found) for _ in got], pa.int64())
-                pos = pa.array([k for got in found for k in range(len(got))], pa.int32())
-                flat = [t for got in found for t in got]
-                columns = [c.take(source) for j, c in enumerate(part.columns) if j != at] + [pos]
+            for step in range(0, batch.num_rows, STEP):
+                part = batch.slice(step, STEP)
+                got = seg.cut([x.as_py() or "" for x in part.column(at)])
+                source, heads = np.repeat(np.arange(part.num_rows), got.counts), np.cumsum(got.counts) - got.counts
+                pos = (np.arange(len(source)) - heads[source]).astype(np.int32)
+                columns = [c.take(pa.array(source)) for j, c in enumerate(part.columns) if j != at] + [pa.array(pos), got.vocabulary.take(pa.array(got.which))]
                 if details:
-                    each = list(zip(*flat)) or [()] * 5
-                    columns += [pa.array(each[0], pa.string()), *(pa.array(v, kind) for v, (_, _, kind) in zip(each[1:], DETAILS))]
-                else:
-                    columns.append(pa.array(flat, pa.string()))
+                    columns += [pa.array(got.start.astype(np.int32)), pa.array(got.size.astype(np.int32)), kinds.take(pa.array(got.kind)), pa.array(got.chunk.astype(np.int32))]
                 names = [n for j, n in enumerate(part.schema.names) if j != at] + ["pos", "surface"] + [n for n, _, _ in DETAILS] * details
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
+def _map_counts(shared, config: SegmentConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = Segmenter(shared.value, config)
+        for batch in batches:
+            for step in range(0, batch.num_rows, STEP):
+                got = seg.cut([x.as_py() or "" for x in batch.column(0).slice(step, STEP)])
+                code, n = np.unique(got.which * len(KINDS) + got.kind, return_counts=True)
+                yield pa.RecordBatch.from_arrays([got.vocabulary.take(pa.array(code // len(KINDS))), pa.array(KINDS).take(pa.array(code % len(KINDS))), pa.array(n)], ["surface", "kind", "n"])
+
+    return run
+
+
+def count_tokens(rows: DataFrame, lexicon: Lexicon, config: SegmentConfig = SegmentConfig(), text: str = "text") -> DataFrame:
+    """(surface, kind, n): how often each token occurs in all texts. Tokens are counted where they are cut, and the counts added up."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+    part = rows.select(text).mapInArrow(_map_counts(shared, config), "surface string, kind string, n long")
+    return part.groupBy("surface", "kind").agg(F.sum("n").alias("n"))
+
+
 def segment(rows: DataFrame, lexicon: Lexicon, config: SegmentConfig = SegmentConfig(), text: str = "text", details: bool = False) -> DataFrame:
     """The other columns of ``rows`` with pos and surface of each token of its text. Works on streams as well.
 

@@ -6,8 +6,14 @@ the rules are one ordered maximum a position; and the walk over the chosen words
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from lexmill.config import SegmentConfig
+from lexmill.operators import runs as cutting
 
 
 def hits(runs: DataFrame, dictionary: DataFrame, most: int, max_bytes: int = 36) -> DataFrame:
@@ -20,21 +26,17 @@ def hits(runs: DataFrame, dictionary: DataFrame, most: int, max_bytes: int = 36)
     return every.groupBy("run", "at").agg(F.array_sort(F.collect_set("len")).alias("lens"), F.coalesce(F.max_by("freq", F.when(F.col("freq").isNotNull(), F.col("len"))), F.lit(1)).alias("f"))
 
 
-#: Positions that a path of three words may look at: two words of at most 36 characters, and the place after them.
-REACH = 73
-
-
-def paths(at_hits: DataFrame, inclusive: bool = False) -> DataFrame:
-    """(run, at, i, j, w1, w2, w3, f1, f2, f3): every path of up to three words from every position.
+def paths(at_hits: DataFrame, inclusive: bool = False, most: int = 36) -> DataFrame:
+    """(run, at, i, j, w1, w2, w3, f1, f2, f3): every path of up to three words of up to ``most`` characters from every position.
 
-    A run's hits are gathered once, and each position gets the stretch of them that its paths can reach; so one shuffle
-    by run serves the paths, the rules and the walk. Runs are pieces between separators; ones of tens of thousands of
-    characters are for the Arrow form.
+    A run's hits are gathered once, and each position gets the stretch of them that its paths can reach: two words and
+    the place after them; so one shuffle by run serves the paths, the rules and the walk. Runs are pieces between
+    separators; ones of tens of thousands of characters are for the Arrow form.
     """
     end = F.char_length("run") - (0 if inclusive else 1)
     in_order = F.array_sort(F.collect_list(F.struct("at", "lens", "f")))
     runs = at_hits.groupBy("run").agg(F.transform(in_order, lambda h: F.struct(h["lens"].alias("lens"), h["f"].alias("f"))).alias("h"))
-    ahead = F.transform(F.sequence(F.lit(1), F.size("h")), lambda i: F.slice("h", i, F.lit(REACH)))
+    ahead = F.transform(F.sequence(F.lit(1), F.size("h")), lambda i: F.slice("h", i, F.lit(2 * most + 1)))
     one = runs.select("run", F.posexplode(ahead).alias("at", "near")).withColumn("h1", F.get("near", F.lit(0)))
     one = one.select("run", "at", "near", "h1", F.posexplode("h1.lens").alias("i", "w1")).withColumn("f1", F.when(F.col("i") == 0, F.col("h1.f")).otherwise(0))
     one = one.withColumn("h2", F.when(F.col("at") + F.col("w1") < end, F.get("near", F.col("w1"))))
@@ -87,15 +89,15 @@ def walk(following: DataFrame) -> DataFrame:
     return steps.select("run", F.posexplode(words).alias("nth", "w")).select("run", "nth", F.col("w.start").alias("start"), F.col("w.len").alias("len"))
 
 
-def words_of(at_hits: DataFrame, inclusive: bool = False, compat: bool = False) -> DataFrame:
+def words_of(at_hits: DataFrame, inclusive: bool = False, compat: bool = False, most: int = 36) -> DataFrame:
     """(run, nth, start, len, surface) of each word of each run, from hits. They are read three times: best a written table."""
-    words = walk(next_words(scored(paths(at_hits, inclusive), compat)))
+    words = walk(next_words(scored(paths(at_hits, inclusive, most), compat)))
     return words.withColumn("surface", F.substring(F.col("run"), F.col("start") + 1, F.col("len")))
 
 
-def segment_runs(runs: DataFrame, dictionary: DataFrame, most: int, inclusive: bool = False, compat: bool = False) -> DataFrame:
+def segment_runs(runs: DataFrame, dictionary: DataFrame, most: int, inclusive: bool = False, compat: bool = False, max_bytes: int = 36) -> DataFrame:
     """(run, nth, start, len, surface) of each word of each run."""
-    return words_of(hits(runs, dictionary, most), inclusive, compat)
+    return words_of(hits(runs, dictionary, most, max_bytes), inclusive, compat, most)
 
 
 def omni_of(every: DataFrame, least: int = 2, minus_tokens: bool = True) -> DataFrame:
@@ -115,7 +117,7 @@ def omni_of(every: DataFrame, least: int = 2, minus_tokens: bool = True) -> Data
 
 def omni(runs: DataFrame, dictionary: DataFrame, most: int, least: int = 2, minus_tokens: bool = True, inclusive: bool = False) -> DataFrame:
     """The sub-words of runs: see omni_of."""
-    return omni_of(paths(hits(runs, dictionary, most), inclusive), least, minus_tokens)
+    return omni_of(paths(hits(runs, dictionary, most), inclusive, most), least, minus_tokens)
 
 
 def keyword_hits(runs: DataFrame, keywords: DataFrame, most: int, tokens: DataFrame | None = None) -> DataFrame:
@@ -127,3 +129,21 @@ def keyword_hits(runs: DataFrame, keywords: DataFrame, most: int, tokens: DataFr
     if tokens is not None:
         found = found.join(tokens.select("run", "start", "len"), ["run", "start", "len"], "left_anti")
     return found.select("run", "start", "len", "surface")
+
+
+def segment_rows(rows: DataFrame, dictionary: DataFrame, config: SegmentConfig = SegmentConfig(), text: str = "text", most: int = 36, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
+    """The other columns of ``rows`` with pos and surface of each token of its text: ``matcher.segment`` for dictionaries of any size.
+
+    ``keep`` writes tables that are read several times; rows are told apart by a number that the first of them holds.
+    """
+    base = keep(rows.drop("pos", "surface").withColumn("__row", F.monotonically_increasing_id()), "rows")
+    occ = keep(cutting.pieces(base.select("__row", text), config, text), "pieces")
+    distinct = keep(occ.where(F.col("kind") == "run").select(F.col("piece").alias("run")).distinct(), "runs")
+    found = keep(hits(distinct, dictionary, most, config.max_term_bytes), "hits")
+    words = words_of(found, config.lookahead_inclusive, config.compat, most).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("nth", "surface"))).alias("w"))
+    words = words.select("run", F.lit("run").alias("kind"), F.transform("w", lambda x: x["surface"]).alias("words"))
+    cut = occ.join(words, (F.col("piece") == F.col("run")) & (occ["kind"] == words["kind"]), "left").select("__row", "pos", F.coalesce("words", F.array("piece")).alias("words"))
+    before = F.sum(F.size("words")).over(W.partitionBy("__row").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    tokens = cut.withColumn("first", F.coalesce(before, F.lit(0))).select("__row", "first", F.posexplode("words").alias("nth", "surface"))
+    tokens = tokens.select("__row", (F.col("first") + F.col("nth")).cast("int").alias("pos"), "surface")
+    return base.drop(text).join(tokens, "__row").drop("__row")

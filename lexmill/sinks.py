@@ -32,6 +32,12 @@ def encoded(text: Column, charset: str = "UTF-16") -> Column:
     return F.encode(F.concat(F.lit("﻿"), text), "UTF-8") if charset == "UTF-8" else F.encode(text, charset)
 
 
+def write_utf16(texts: DataFrame, path: str, column: str = "text") -> None:
+    """Files in UTF-16 with a byte order mark, a text a line; ``sources.readers.read_texts`` takes them."""
+    plain = {"encoding": "UTF-16", "quote": "", "escape": "", "emptyValue": "", "nullValue": "", "sep": "\x01", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    texts.select(column).write.mode("overwrite").options(**plain).csv(path)
+
+
 def ini_text(settings: DataFrame) -> DataFrame:
     """One row, text: the INI form of (section, key, value); settings are few."""
     line = F.concat("key", F.lit(" = "), "value")

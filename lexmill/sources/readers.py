@@ -52,7 +52,15 @@ def thesaurus_from(rows: DataFrame) -> DataFrame:
 
 
 def ini_from(rows: DataFrame) -> DataFrame:
-    """(section, key, value) of INI lines (line_no, value): last setting wins; sections and keys are lower-cased."""
+    """(section, key, value) of INI lines (line_no, value): last setting wins; sections and keys are lower-cased.
+
+    A line that ends with a backslash goes on in the next one.
+    """
+    joined = rows.withColumn("more", F.rlike("value", F.lit(r"\\\s*$")))
+    begins = F.coalesce(~F.lag("more").over(W.orderBy("line_no")), F.lit(True))
+    joined = joined.withColumn("first", F.max(F.when(begins, F.col("line_no"))).over(W.orderBy("line_no")))
+    part = F.struct("line_no", F.when(F.col("more"), F.regexp_replace("value", r"\\\s*$", "")).otherwise(F.col("value")).alias("v"))
+    rows = joined.groupBy(F.col("first").alias("line_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["v"]), "").alias("value"))
     t = rows.withColumn("t", F.trim("value")).where((F.col("t") != "") & ~F.col("t").startswith("#"))
     t = t.withColumn("named", F.when(F.rlike("t", F.lit(r"^\[[^\]]+\]")), F.lower(F.trim(F.regexp_extract("t", r"^\[([^\]]+)\]", 1)))))
     # settings files are small, and a section reaches from its head to the next one
@@ -91,6 +99,8 @@ def in_memory(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
+#: The version of dictionary files, which their term column's metadata holds, and its name there.
+VERSION, VERSION_KEY = 1, "lexmill_version"
 SCHEMAS = {"unigram": ["term", "freq"], "kw": ["term", "freq"], "weight": ["term", "freq"], "synonyms": ["term", "canonical"], "thesaurus": ["term", "related"]}
 
 
@@ -108,4 +118,7 @@ def load_dictionary(spark: SparkSession, directory: str, kind: str, required: bo
         raise DictionaryError(-4, f"{directory}/{kind} cannot be read") from e
     if not set(SCHEMAS[kind]) <= set(df.columns):
         raise DictionaryError(-3, f"{directory}/{kind} lacks {SCHEMAS[kind]}")
+    version = df.schema["term"].metadata.get(VERSION_KEY, VERSION)
+    if version > VERSION:
+        raise DictionaryError(-2, f"{directory}/{kind} is of version {version}, which is newer than {VERSION}")
     return df.select(*SCHEMAS[kind])

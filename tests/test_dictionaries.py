@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import HealthCheck, given
+from hypothesis import settings as settings_
+from hypothesis import strategies as st
 
 from lexmill import cli, sinks
 from lexmill.engine import Engine
@@ -170,11 +173,60 @@ def test_synonyms_span_tokens(spark):
     syn = spark.createDataFrame([("ab", "AB"), ("bc", "BC"), ("b", "B")], "term string, canonical string")
     got = enrich.rewrite_synonyms(tokens, syn, ["doc_id"]).orderBy("pos").collect()
     assert [(r.pos, r.surface, r.source, r.is_synonym) for r in got] == [(0, "AB", "ab", True), (2, "c", "c", False), (3, "AB", "ab", True)]
+    long = spark.createDataFrame([("abcab", "WHOLE"), ("cab", "CAB"), ("bc", "BC")], "term string, canonical string")
+    got = enrich.rewrite_synonyms(tokens, long, ["doc_id"]).collect()
+    assert [(r.pos, r.surface, r.source, r.is_synonym, r.n_tokens) for r in got] == [(0, "WHOLE", "abcab", True, 5)]
+    assert enrich.rewrite_synonyms(tokens, syn.limit(0), ["doc_id"]).count() == 5
     th = spark.createDataFrame([("a", ["p"])], "term string, related array<string>")
     assert enrich.with_thesaurus(tokens, th, ["doc_id"]).where("kind = 'thesaurus'").count() == 2
     assert sinks.token_lists(tokens, ["doc_id"]).first().tokens == ["a", "b", "c", "a", "b"]
 
 
+@settings_(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.text("ab", min_size=1, max_size=2), max_size=12), min_size=1, max_size=6), st.dictionaries(st.text("ab", min_size=1, max_size=6), st.text("XYZ", min_size=1, max_size=2), max_size=8))
+def test_synonyms_equal_a_walk(spark, docs, syn):
+    tokens = spark.createDataFrame([(d, i, t) for d, words in enumerate(docs) for i, t in enumerate(words)], "doc_id long, pos int, surface string")
+    want = []
+    for d, words in enumerate(docs):
+        i = 0
+        while i < len(words):
+            n = next((n for n in range(len(words) - i, 0, -1) if "".join(words[i : i + n]) in syn), 0)
+            source = "".join(words[i : i + max(n, 1)])
+            want.append((d, i, syn[source] if n else source, source, n > 0, max(n, 1)))
+            i += max(n, 1)
+    got = enrich.rewrite_synonyms(tokens, spark.createDataFrame(list(syn.items()), "term string, canonical string"), ["doc_id"])
+    assert rows(got) == sorted(want)
+
+
+def test_versions_and_optional_dictionaries(spark, tmp_path):
+    d = spark.createDataFrame([("b", 1), ("a", 2)], "term string, freq int")
+    dictionary.save(d, str(tmp_path), "unigram")
+    assert [r.term for r in readers.load_dictionary(spark, str(tmp_path), "unigram").collect()] == ["a", "b"]
+    dictionary.save(d, str(tmp_path), "kw", version=readers.VERSION + 1)
+    with pytest.raises(readers.DictionaryError) as newer:
+        readers.load_dictionary(spark, str(tmp_path), "kw")
+    assert newer.value.code == -2
+    spark.range(1).write.parquet(str(tmp_path / "synonyms"))
+    with pytest.warns(UserWarning, match="left out"):
+        e = Engine.load(spark, str(tmp_path))
+    assert e.kw is None and e.synonyms is None and e.segment("ab") == ["ab"]
+
+
+def test_large_dictionaries_are_joined(spark, monkeypatch):
+    from lexmill.operators import matcher
+
+    d = spark.createDataFrame([("中国", 1), ("国人", 2)], "term string, freq int")
+    e, docs = Engine(spark, d), readers.in_memory(spark, ["中国人", "x"])
+    small = rows(e.segment_frame(docs))
+    monkeypatch.setattr(matcher, "too_large", lambda *_: True)
+    assert rows(e.segment_frame(docs)) == small
+
+
+def test_ini_lines_go_on(spark):
+    got = readers.ini_from(lines(spark, "[a]", "k = one \\", "two\\  ", " three ; note", "j = 1"))
+    assert rows(got) == [("a", "j", "1"), ("a", "k", "one two three")]
+
+
 def test_no_machine_local_folder_on_a_cluster(spark):
     from types import SimpleNamespace
 

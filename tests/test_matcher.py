@@ -96,7 +96,7 @@ def walked(text, config):
 @given(st.text("ab1-. ,x中９\n\r", max_size=14), st.booleans(), st.booleans(), st.sampled_from(["", "-", "-.", "1"]))
 def test_runs_equal_a_walk(text, merge, separate, joint):
     config = SegmentConfig(merge=merge, separate=separate, joint=joint)
-    assert [p for p, _ in Segmenter(Lexicon({}), config).pieces(text)] == walked(text, config)
+    assert Segmenter(Lexicon({}), config).pieces(text) == walked(text, config)
 
 
 @settings(max_examples=200, deadline=None)
@@ -175,3 +175,54 @@ def test_best_word_is_the_best_of_all_paths(text, terms, inclusive, compat):
                 at += w
             keyed.append((sum(sizes), -len(path), -sum(x * x for x in sizes), matcher._score(tuple(f for _, f in path), compat), -n, path[0][0]))
         assert matcher.best_word(text, base, offsets, hits, inclusive, compat) == max(keyed)[-1]
+
+
+def plain_details(seg, text):
+    """(surface, start byte, bytes, kind, chunk) token by token."""
+    out, at, chunk, before = [], 3 * text.startswith("\ufeff"), 0, None
+    for piece in seg.pieces(text):
+        kind = seg.kind(piece)
+        if before is not None and before != matcher.RUN and not (kind == matcher.SEPARATOR and before in (matcher.NUMBER, matcher.LETTER)):
+            chunk += 1
+        before = kind
+        for t in seg.words(piece) if kind == matcher.RUN else [piece]:
+            out.append((t, at, len(t.encode()), kind, chunk))
+            at += len(t.encode())
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab1-. ,中國9\n\r\ufeff\0é", max_size=14), max_size=5), st.integers(0, 3))
+def test_cut_equals_a_walk_over_tokens(texts, kept):
+    seg = Segmenter(Lexicon({"中國": 5, "é中": 2}), SegmentConfig())
+    seg.KEPT = kept
+    for _ in range(2):
+        got = seg.cut(texts)
+        rows = list(zip(got.vocabulary.take(matcher.pa.array(got.which)).to_pylist(), got.start.tolist(), got.size.tolist(), got.kind.tolist(), got.chunk.tolist()))
+        want = [plain_details(seg, t) for t in texts]
+        assert got.counts.tolist() == [len(w) for w in want] and rows == [x for w in want for x in w]
+        assert [[x[0] for x in w] for w in want] == [seg.tokens(t) for t in texts]
+
+
+def test_joins_equal_the_arrow_form_over_texts(spark):
+    texts = ["中国人上海市, ab12\n中国", None, "", "中国人中国人", "ab-1", "中国人上海市"]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, note string")
+    terms = chars("中国人上海市") | {"中国人": 1, "上海市": 1, "中国": 9}
+    d = spark.createDataFrame(list(terms.items()), "term string, freq int")
+    for config in (SegmentConfig(), SegmentConfig(joint="-", merge=True, lookahead_inclusive=True)):
+        got = relational.segment_rows(rows, d, config, keep=lambda df, _: df.cache())
+        want = matcher.segment(rows, Lexicon(terms), config)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    counts = {(r.surface, r.kind): r.n for r in matcher.count_tokens(rows, Lexicon(terms)).collect()}
+    assert counts[("中国人", "word")] == 5 and counts[("\n", "newline")] == 2 and counts[("ab", "letter")] == 3
+    spark.catalog.clearCache()
+
+
+def test_paths_reach_as_far_as_terms_do(spark):
+    a, b, c = "x" * 50, "y" * 50, "z" * 10
+    every = spark.createDataFrame([(a + b + c + "w",)], "run string")
+    d = spark.createDataFrame([(a, 5), (b, 5), (c, 5)], "term string, freq int")
+    found = relational.paths(relational.hits(every, d, 60, 100), most=60).where("at = 0 AND w1 = 50 AND w2 = 50").collect()
+    assert [r.w3 for r in found] == [10]
+    words = relational.segment_runs(every, d, 60, max_bytes=100).orderBy("nth").collect()
+    assert [r.surface for r in words] == [a, b, c, "w"]
