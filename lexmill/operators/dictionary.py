@@ -5,6 +5,8 @@ Dictionaries are DataFrames: (term, freq), (term, canonical) and (term, related)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -66,13 +68,14 @@ def in_order(dictionary: DataFrame) -> DataFrame:
     return dictionary.orderBy("term")
 
 
-def numbered(dictionary: DataFrame, partitions: int | None = None) -> DataFrame:
+def numbered(dictionary: DataFrame, keep: Callable[[DataFrame, str], DataFrame], partitions: int | None = None) -> DataFrame:
     """The rows of a dictionary with nth, their place from 0 in order of the terms: access by index is a filter on it.
 
-    Rows are sorted in ranges; only a row a range is summed up to number them.
+    Rows are sorted in ranges; only a row a range is summed up to number them. ``keep`` writes the ranges, so that both
+    readers see the same ones.
     """
     n = partitions or int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = dictionary.repartitionByRange(n, "term").withColumn("block", F.spark_partition_id())
+    ranged = keep(dictionary.repartitionByRange(n, "term").withColumn("block", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("block").count()
     before = F.sum("count").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select("block", F.coalesce(before, F.lit(0)).alias("before"))

@@ -55,15 +55,22 @@ def lowered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents."""
     return dictionary.lexicon(docs(spark, sf_dir))
 
 
+def common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matcher's dictionary: words seen five times, so that rarer ones have to be cut."""
+    return dictionary.lexicon(docs(spark, sf_dir), min_count=5)
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
 LEX = r"""lex AS (SELECT term, CAST(count(*) AS BIGINT) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS term FROM documents) x
-  WHERE strlen(term) <= 36 GROUP BY term HAVING count(*) >= 5 ORDER BY freq DESC, term LIMIT 50000)"""
+  WHERE strlen(term) <= 36 GROUP BY term)"""
+COMMON = LEX[:-1] + " HAVING count(*) >= 5)"
 RUN = "[^\\r\\n" + WORDS.classes.any_of("m", "e", "w") + "]+"
 
 
@@ -287,46 +294,44 @@ def prefix_state(spark, sf_dir):
 # --- the matcher
 
 
-def _bench_runs(spark, sf_dir):
-    return runs.ordinary_runs(lowered(spark, sf_dir, "benchmark"), WORDS)
-
-
-def _bench_paths(spark, sf_dir):
-    hits = written(relational.hits(_bench_runs(spark, sf_dir), lex(spark, sf_dir), MOST), "hits")
-    return relational.paths(hits)
-
-
 def _doc_runs(spark, sf_dir):
     return runs.ordinary_runs(lowered(spark, sf_dir, "documents"), WORDS)
 
 
-@query(with_(LEX, runs_sql("benchmark"), HITS, PATHS) + "SELECT run, CAST(pt AS BIGINT) AS \"at\", CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(w1 AS BIGINT) AS w1, CAST(w2 AS BIGINT) AS w2, CAST(w3 AS BIGINT) AS w3, CAST(f1 AS BIGINT) AS f1, CAST(f2 AS BIGINT) AS f2, CAST(f3 AS BIGINT) AS f3 FROM p3")
+def _doc_paths(spark, sf_dir):
+    every = written(_doc_runs(spark, sf_dir), "runs")
+    return relational.paths(written(relational.hits(every, common(spark, sf_dir), MOST), "hits"))
+
+
+@query(with_(COMMON, runs_sql("benchmark"), HITS, PATHS) + "SELECT run, CAST(pt AS BIGINT) AS \"at\", CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(w1 AS BIGINT) AS w1, CAST(w2 AS BIGINT) AS w2, CAST(w3 AS BIGINT) AS w3, CAST(f1 AS BIGINT) AS f1, CAST(f2 AS BIGINT) AS f2, CAST(f3 AS BIGINT) AS f3 FROM p3")
 def chunk_candidates(spark, sf_dir):
-    return _bench_paths(spark, sf_dir)
+    """Every path of every position: of the benchmark's passages, as they are many."""
+    every = written(runs.ordinary_runs(lowered(spark, sf_dir, "benchmark"), WORDS), "runs")
+    return relational.paths(written(relational.hits(every, common(spark, sf_dir), MOST), "hits"))
 
 
-@query(with_(LEX, runs_sql("benchmark"), HITS, PATHS) + """, m1 AS (SELECT *, max(total) OVER (PARTITION BY run, pt) AS bt FROM s), r1 AS (SELECT *, (total = bt) AS k1 FROM m1),
+@query(with_(COMMON, runs_sql("documents"), HITS, PATHS) + """, m1 AS (SELECT *, max(total) OVER (PARTITION BY run, pt) AS bt FROM s), r1 AS (SELECT *, (total = bt) AS k1 FROM m1),
 m2 AS (SELECT *, min(words) FILTER (WHERE k1) OVER (PARTITION BY run, pt) AS bw FROM r1), r2 AS (SELECT *, (k1 AND words = bw) AS k2 FROM m2),
 m3 AS (SELECT *, min(squares) FILTER (WHERE k2) OVER (PARTITION BY run, pt) AS bs FROM r2), r3 AS (SELECT *, (k2 AND squares = bs) AS k3 FROM m3),
 m4 AS (SELECT *, max(score) FILTER (WHERE k3) OVER (PARTITION BY run, pt) AS bf FROM r3)
 SELECT run, CAST(pt AS BIGINT) AS \"at\", count(*) AS n_paths, count(*) FILTER (WHERE k1) AS rule1, count(*) FILTER (WHERE k2) AS rule2, count(*) FILTER (WHERE k3) AS rule3, count(*) FILTER (WHERE k3 AND score = bf) AS rule4 FROM m4 GROUP BY run, pt""")
 def rule_survivors(spark, sf_dir):
-    return relational.survivors(written(relational.scored(_bench_paths(spark, sf_dir)), "paths"))
+    return relational.survivors(written(relational.scored(_doc_paths(spark, sf_dir)), "paths"))
 
 
-@query(with_(LEX, runs_sql("benchmark"), HITS, PATHS, NEXT) + "SELECT run, CAST(pt AS BIGINT) AS \"at\", CAST(word AS BIGINT) AS word FROM nx")
+@query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT) + "SELECT run, CAST(pt AS BIGINT) AS \"at\", CAST(word AS BIGINT) AS word FROM nx")
 def next_step(spark, sf_dir):
-    return relational.next_words(relational.scored(_bench_paths(spark, sf_dir)))
+    return relational.next_words(relational.scored(_doc_paths(spark, sf_dir)))
 
 
-SEGMENTED = with_(LEX, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recursive=True) + "SELECT substring(w.run, w.pt + 1, w.word) AS surface, CAST(sum(r.n) AS BIGINT) AS n FROM walk w JOIN runs r ON r.run = w.run GROUP BY 1"
+SEGMENTED = with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recursive=True) + "SELECT substring(w.run, w.pt + 1, w.word) AS surface, CAST(sum(r.n) AS BIGINT) AS n FROM walk w JOIN runs r ON r.run = w.run GROUP BY 1"
 
 
 @query(SEGMENTED)
 def segment_words(spark, sf_dir):
     """Surfaces of all words of all documents with their counts, by joins over distinct runs."""
     every = written(_doc_runs(spark, sf_dir), "runs")
-    hits = written(relational.hits(every.select("run"), lex(spark, sf_dir), MOST), "hits")
+    hits = written(relational.hits(every.select("run"), common(spark, sf_dir), MOST), "hits")
     words = relational.words_of(hits)
     return words.join(every, "run").groupBy("surface").agg(F.sum("n").alias("n"))
 
@@ -334,37 +339,36 @@ def segment_words(spark, sf_dir):
 @query(SEGMENTED)
 def segment_arrow(spark, sf_dir):
     """The same by the Arrow matcher over the texts."""
-    tokens = matcher.segment(lowered(spark, sf_dir, "documents").select("text"), matcher.collect_lexicon(lex(spark, sf_dir)), WORDS)
-    words = tokens.where(F.rlike("surface", F.lit(f"^[^\\r\\n{WORDS.classes.any_of('m', 'e', 'w')}]")))
-    return words.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
+    counts = matcher.count_tokens(lowered(spark, sf_dir, "documents"), matcher.collect_lexicon(common(spark, sf_dir)), WORDS)
+    return counts.where(F.col("kind") == "word").select("surface", "n")
 
 
-@query(with_(LEX, runs_sql("benchmark"), HITS, PATHS, NEXT, WALK, f"pc AS (SELECT item_id, unnest(regexp_extract_all(lower(text), {quoted(piece_pattern(WORDS.classes))})) AS piece, generate_subscripts(regexp_extract_all(lower(text), {quoted(piece_pattern(WORDS.classes))}), 1) AS k FROM benchmark)", """tk AS (SELECT item_id, k, coalesce(w.nth, 0) AS nth, CASE WHEN w.run IS NULL THEN piece ELSE substring(piece, w.pt + 1, w.word) END AS surface FROM pc LEFT JOIN walk w ON w.run = pc.piece)""", recursive=True) + """SELECT item_id, CAST(row_number() OVER o - 1 AS BIGINT) AS pos, surface, CAST(strlen(surface) AS BIGINT) AS byte_len, CAST(sum(strlen(surface)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_byte,
-CAST(sum(strlen(surface)) OVER (o ROWS UNBOUNDED PRECEDING) - strlen(surface) AS BIGINT) AS start_byte FROM tk WINDOW o AS (PARTITION BY item_id ORDER BY k, nth)""")
+@query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, f"pc AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {quoted(piece_pattern(WORDS.classes))})) AS piece, generate_subscripts(regexp_extract_all(lower(text), {quoted(piece_pattern(WORDS.classes))}), 1) AS k FROM documents)", """tk AS (SELECT doc_id, k, coalesce(w.nth, 0) AS nth, CASE WHEN w.run IS NULL THEN piece ELSE substring(piece, w.pt + 1, w.word) END AS surface FROM pc LEFT JOIN walk w ON w.run = pc.piece)""", recursive=True) + """SELECT doc_id, CAST(row_number() OVER o - 1 AS BIGINT) AS pos, surface, CAST(strlen(surface) AS BIGINT) AS byte_len, CAST(sum(strlen(surface)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_byte,
+CAST(sum(strlen(surface)) OVER (o ROWS UNBOUNDED PRECEDING) - strlen(surface) AS BIGINT) AS start_byte FROM tk WINDOW o AS (PARTITION BY doc_id ORDER BY k, nth)""")
 def token_offsets(spark, sf_dir):
-    tokens = matcher.segment(lowered(spark, sf_dir, "benchmark").select("item_id", "text"), matcher.collect_lexicon(lex(spark, sf_dir)), WORDS, details=True)
-    return tokens.select("item_id", "pos", "surface", "byte_len", (F.col("start_byte") + F.col("byte_len")).alias("end_byte"), "start_byte")
+    tokens = matcher.segment(lowered(spark, sf_dir, "documents").select("doc_id", "text"), matcher.collect_lexicon(common(spark, sf_dir)), WORDS, details=True)
+    return tokens.select("doc_id", "pos", "surface", "byte_len", (F.col("start_byte") + F.col("byte_len")).alias("end_byte"), "start_byte")
 
 
-@query(with_(LEX, runs_sql("benchmark"), HITS, PATHS, NEXT, WALK, "rp AS (SELECT s.* FROM s JOIN walk w ON w.run = s.run AND w.pt = s.pt)", """laid AS (SELECT run, pt AS start, w1 AS len, f1 AS f FROM rp UNION ALL SELECT run, pt + w1, w2, f2 FROM rp WHERE w2 IS NOT NULL UNION ALL SELECT run, pt + w1 + w2, w3, f3 FROM rp WHERE w3 IS NOT NULL)""", recursive=True) + """SELECT DISTINCT l.run, CAST(l.start AS BIGINT) AS start, CAST(l.len AS BIGINT) AS len, substring(l.run, l.start + 1, l.len) AS surface FROM laid l LEFT JOIN walk w ON w.run = l.run AND w.pt = l.start AND w.word = l.len WHERE l.f >= 2 AND w.run IS NULL""")
+@query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, "rp AS (SELECT s.* FROM s JOIN walk w ON w.run = s.run AND w.pt = s.pt)", """laid AS (SELECT run, pt AS start, w1 AS len, f1 AS f FROM rp UNION ALL SELECT run, pt + w1, w2, f2 FROM rp WHERE w2 IS NOT NULL UNION ALL SELECT run, pt + w1 + w2, w3, f3 FROM rp WHERE w3 IS NOT NULL)""", recursive=True) + """SELECT DISTINCT l.run, CAST(l.start AS BIGINT) AS start, CAST(l.len AS BIGINT) AS len, substring(l.run, l.start + 1, l.len) AS surface FROM laid l LEFT JOIN walk w ON w.run = l.run AND w.pt = l.start AND w.word = l.len WHERE l.f >= 2 AND w.run IS NULL""")
 def omni_tokens(spark, sf_dir):
-    return relational.omni_of(written(_bench_paths(spark, sf_dir), "paths"))
+    return relational.omni_of(written(_doc_paths(spark, sf_dir), "paths"))
 
 
-@query(with_(LEX, runs_sql("benchmark"), HITS, PATHS, NEXT, WALK, recursive=True) + """SELECT c.run, CAST(c.pt AS BIGINT) AS start, CAST(c.len AS BIGINT) AS len, substring(c.run, c.pt + 1, c.len) AS surface
+@query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recursive=True) + """SELECT c.run, CAST(c.pt AS BIGINT) AS start, CAST(c.len AS BIGINT) AS len, substring(c.run, c.pt + 1, c.len) AS surface
 FROM cut c JOIN lex k ON k.term = substring(c.run, c.pt + 1, c.len) AND k.freq >= 50 LEFT JOIN walk w ON w.run = c.run AND w.pt = c.pt AND w.word = c.len WHERE w.run IS NULL""")
 def keyword_minus_tokens(spark, sf_dir):
-    words = written(lex(spark, sf_dir), "lexicon")
-    found = written(_bench_runs(spark, sf_dir), "runs")
+    words = written(common(spark, sf_dir), "lexicon")
+    found = written(_doc_runs(spark, sf_dir), "runs")
     tokens = relational.words_of(written(relational.hits(found, words, MOST), "hits"))
     return relational.keyword_hits(found, words.where(F.col("freq") >= 50), MOST, tokens)
 
 
 @query()
 def stream_segment(spark, sf_dir):
-    """Counts of the tokens that a stream over the benchmark's files yields."""
+    """Counts of the tokens that a stream over the documents' files yields."""
     folder = shared_folder(spark, "stream")
-    segment_folder(spark, f"{sf_dir}/benchmark.parque[t]", f"{folder}/tokens", f"{folder}/state", matcher.collect_lexicon(lex(spark, sf_dir)), WORDS, lower=True)
+    segment_folder(spark, f"{sf_dir}/documents.parque[t]", f"{folder}/tokens", f"{folder}/state", matcher.collect_lexicon(common(spark, sf_dir)), WORDS, ("doc_id", "text"), lower=True)
     return spark.read.parquet(f"{folder}/tokens").groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -422,8 +426,8 @@ def ini_parse(spark, sf_dir):
     return readers.ini_from(head.unionByName(body))
 
 
-@query(with_(LEX, runs_sql("benchmark"), HITS, PATHS, NEXT, WALK, recursive=True) + "SELECT run, string_agg(substring(run, pt + 1, word), ' ' ORDER BY pt) AS words FROM walk GROUP BY run")
+@query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recursive=True) + "SELECT run, string_agg(substring(run, pt + 1, word), ' ' ORDER BY pt) AS words FROM walk GROUP BY run")
 def token_lists(spark, sf_dir):
-    words = relational.words_of(written(relational.hits(_bench_runs(spark, sf_dir), lex(spark, sf_dir), MOST), "hits"))
+    words = relational.words_of(written(relational.hits(written(_doc_runs(spark, sf_dir), "runs"), common(spark, sf_dir), MOST), "hits"))
     lists = sinks.token_lists(words.select("run", F.col("nth").alias("pos"), "surface"), ["run"])
     return lists.select("run", F.array_join("tokens", " ").alias("words"))
