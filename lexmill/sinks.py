@@ -33,9 +33,13 @@ def encoded(text: Column, charset: str = "UTF-16") -> Column:
 
 
 def write_utf16(texts: DataFrame, path: str, column: str = "text") -> None:
-    """Files in UTF-16 with a byte order mark, a text a line; ``sources.readers.read_texts`` takes them."""
+    """Files in UTF-16 with a byte order mark, the texts' lines one after another; ``sources.readers.read_texts`` takes them.
+
+    Spark's only writer that takes an encoding drops empty lines.
+    """
     plain = {"encoding": "UTF-16", "quote": "", "escape": "", "emptyValue": "", "nullValue": "", "sep": "\x01", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    texts.select(column).write.mode("overwrite").options(**plain).csv(path)
+    lines = texts.select(F.explode(F.split(column, "\r?\n", -1)).alias("line"))
+    lines.write.mode("overwrite").options(**plain).csv(path)
 
 
 def ini_text(settings: DataFrame) -> DataFrame:
