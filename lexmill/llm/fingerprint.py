@@ -140,7 +140,8 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     keys = scratch.cut(rows.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("copies")), "keys")
-    again = keys.where(F.col("copies") > 1).select(F.col("doc_id").alias("id"), F.col("tie").alias("t"), "copies")
+    # written, so that its size is known: where few rows repeat, the joins with it shuffle no text
+    again = scratch.cut(keys.where(F.col("copies") > 1).select(F.col("doc_id").alias("id"), F.col("tie").alias("t"), "copies"), "again")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t"))
     once = rows.join(again, same, "left_anti").withColumn("copies", F.lit(1).cast("long"))
     # written, so that the join may split a row with very many copies and the choice of one combines before its shuffle
