@@ -222,10 +222,11 @@ def near_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     found = scratch.cut(_confirmed(more, sets, percent), "rest_links")
     several = linked.groupBy("doc_id").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).where(F.col("low") < F.col("high")).select("doc_id")
     bound = linked.join(several, "doc_id").join(classes, ["c1", "c2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where(F.col("a") != F.col("b"))
-    all_links = scratch.cut(links.unionByName(found).unionByName(bound), "all_links")
-    comps = connected(all_links, scratch, "last")
+    # the first components' stars stand for the links that made them
+    stars = comps.select(F.col("comp").alias("a"), F.col("id").alias("b")).where(F.col("a") < F.col("b"))
+    comps = connected(stars.unionByName(found).unionByName(bound), scratch, "last")
     of_class = scratch.cut(classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("c1", "c2", F.coalesce("comp", "rep").alias("comp")), "class_components")
-    scratch.drop("classes", "reps", "shared", "buckets", "star", "sets", "star_links", "named", "mixed", "rest", "rest_links", "all_links")
+    scratch.drop("classes", "reps", "shared", "buckets", "star", "sets", "star_links", "named", "mixed", "rest", "rest_links")
     out = marks.join(of_class, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
