@@ -41,11 +41,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marks = near_dedup.near_components(docs, percent=80).where(F.col("kept") & F.col("doc_id").isNotNull())
     ids = Scratch(spark, "kept").cut(marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "ids")
     known = docs.where(F.col("doc_id").isNotNull())
-    once = known.join(ids.where(F.col("n") == 1), "doc_id", "left_semi")
-    # written, so that the join may split a doc_id with very many rows and the choice among them combines before its shuffle
-    again = Scratch(spark, "kept").cut(known.join(ids.where(F.col("n") > 1), "doc_id", "left_semi"), "again")
-    one = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return once.unionByName(one.select("row.*")).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    # an id that occurs once needs no choice; the hint keeps one plan at every size: texts are shuffled, never sorted
+    out = known.join(ids.where(F.col("n") == 1).hint("shuffle_hash"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    several = ids.where(F.col("n") > 1)
+    if not several.isEmpty():
+        # written, so that the join may split a doc_id with very many rows and the choice among them combines before its shuffle
+        again = Scratch(spark, "kept").cut(known.join(several, "doc_id", "left_semi"), "again")
+        one = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
