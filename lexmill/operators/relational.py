@@ -1,7 +1,8 @@
 """The matcher as joins and windows over distinct runs: explainable, and for dictionaries of any size.
 
-Every position's hits come from an equi-join of the run's substrings with the dictionary; paths are joins of positions;
-the rules are one ordered maximum a position; and the walk over the chosen words is a fold over each run's positions.
+Every position's hits come from an equi-join of the run's substrings with the dictionary, of those lengths only that terms
+with the same first two characters have; paths are joins of positions; the rules are one ordered maximum a position; and
+the walk over the chosen words is a fold over each run's positions.
 """
 
 from __future__ import annotations
@@ -16,14 +17,21 @@ from lexmill.config import SegmentConfig
 from lexmill.operators import runs as cutting
 
 
-def hits(runs: DataFrame, dictionary: DataFrame, most: int, max_bytes: int = 36) -> DataFrame:
-    """(run, at, lens, f) of each position of each run: ascending word lengths, 1 among them, and the longest hit's frequency."""
+def spans(runs: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """(run, at, len, term): of each position of each run the single character, and as many characters as terms with the same first two have."""
+    sizes = terms.where(F.char_length("term") > 1).groupBy(F.substring("term", 1, 2).alias("head")).agg(F.collect_set(F.char_length("term")).alias("sizes"))
     at = runs.select("run", F.explode(F.sequence(F.lit(0), F.char_length("run") - 1)).alias("at"))
+    at = at.withColumn("head", F.substring(F.col("run"), F.col("at") + 1, F.lit(2))).join(sizes, "head", "left")
     left = F.least(F.char_length("run") - F.col("at"), F.lit(most))
-    cut = at.select("run", "at", F.explode(F.sequence(F.lit(1), left)).alias("len")).withColumn("term", F.substring(F.col("run"), F.col("at") + 1, F.col("len")))
-    found = cut.where(F.octet_length("term") <= max_bytes).join(dictionary.select("term", "freq"), "term").select("run", "at", "len", "freq")
-    every = found.unionByName(at.select("run", "at", F.lit(1).alias("len"), F.lit(None).cast("int").alias("freq")))
-    return every.groupBy("run", "at").agg(F.array_sort(F.collect_set("len")).alias("lens"), F.coalesce(F.max_by("freq", F.when(F.col("freq").isNotNull(), F.col("len"))), F.lit(1)).alias("f"))
+    lens = F.concat(F.array(F.lit(1)), F.coalesce(F.filter("sizes", lambda n: n <= left), F.array().cast("array<int>")))
+    return at.select("run", "at", F.explode(lens).alias("len")).withColumn("term", F.substring(F.col("run"), F.col("at") + 1, F.col("len")))
+
+
+def hits(runs: DataFrame, dictionary: DataFrame, most: int, max_bytes: int = 36) -> DataFrame:
+    """(run, at, lens, f) of each position of each run: ascending word lengths, 1 among them, and the longest hit's frequency."""
+    terms = dictionary.where(F.octet_length("term") <= max_bytes).select("term", "freq", F.lit(True).alias("known"))
+    found = spans(runs, terms, most).join(terms, "term", "left").where((F.col("len") == 1) | F.col("known"))
+    return found.groupBy("run", "at").agg(F.array_sort(F.collect_set("len")).alias("lens"), F.coalesce(F.max_by("freq", F.when(F.col("freq").isNotNull(), F.col("len"))), F.lit(1)).alias("f"))
 
 
 def paths(at_hits: DataFrame, inclusive: bool = False, most: int = 36) -> DataFrame:
@@ -122,10 +130,8 @@ def omni(runs: DataFrame, dictionary: DataFrame, most: int, least: int = 2, minu
 
 def keyword_hits(runs: DataFrame, keywords: DataFrame, most: int, tokens: DataFrame | None = None) -> DataFrame:
     """(run, start, len, surface) of keywords at every position, without those that are tokens."""
-    at = runs.select("run", F.explode(F.sequence(F.lit(0), F.char_length("run") - 1)).alias("start"))
-    cut = at.select("run", "start", F.explode(F.sequence(F.lit(1), F.least(F.char_length("run") - F.col("start"), F.lit(most)))).alias("len"))
-    cut = cut.withColumn("surface", F.substring(F.col("run"), F.col("start") + 1, F.col("len"))).where(F.octet_length("surface") <= 36)
-    found = cut.join(keywords.select(F.col("term").alias("surface")).distinct(), "surface", "left_semi")
+    terms = keywords.where(F.octet_length("term") <= 36).select("term").distinct()
+    found = spans(runs, terms, most).join(terms, "term", "left_semi").select("run", F.col("at").alias("start"), "len", F.col("term").alias("surface"))
     if tokens is not None:
         found = found.join(tokens.select("run", "start", "len"), ["run", "start", "len"], "left_anti")
     return found.select("run", "start", "len", "surface")
