@@ -257,7 +257,7 @@ PLACED = "SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY
 @query(BENCH_TOKENS + PLACED)
 def segment_by_joins(spark, sf_dir):
     """The tokens of texts by the form for dictionaries of any size."""
-    return relational.segment_rows(_bench(spark, sf_dir), common(spark, sf_dir), WORDS, keep=written)
+    return relational.segment_rows(_bench(spark, sf_dir), written(common(spark, sf_dir), "common"), WORDS, keep=written)
 
 
 @query(BENCH_TOKENS + PLACED)

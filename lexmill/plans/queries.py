@@ -300,14 +300,14 @@ def _doc_runs(spark, sf_dir):
 
 def _doc_paths(spark, sf_dir):
     every = written(_doc_runs(spark, sf_dir), "runs")
-    return relational.paths(written(relational.hits(every, common(spark, sf_dir), MOST), "hits"))
+    return relational.paths(written(relational.hits(every, written(common(spark, sf_dir), "common"), MOST), "hits"))
 
 
 @query(with_(COMMON, runs_sql("benchmark"), HITS, PATHS) + "SELECT run, CAST(pt AS BIGINT) AS \"at\", CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(w1 AS BIGINT) AS w1, CAST(w2 AS BIGINT) AS w2, CAST(w3 AS BIGINT) AS w3, CAST(f1 AS BIGINT) AS f1, CAST(f2 AS BIGINT) AS f2, CAST(f3 AS BIGINT) AS f3 FROM p3")
 def chunk_candidates(spark, sf_dir):
     """Every path of every position: of the benchmark's passages, as they are many."""
     every = written(runs.ordinary_runs(lowered(spark, sf_dir, "benchmark"), WORDS), "runs")
-    return relational.paths(written(relational.hits(every, common(spark, sf_dir), MOST), "hits"))
+    return relational.paths(written(relational.hits(every, written(common(spark, sf_dir), "common"), MOST), "hits"))
 
 
 @query(with_(COMMON, runs_sql("documents"), HITS, PATHS) + """, m1 AS (SELECT *, max(total) OVER (PARTITION BY run, pt) AS bt FROM s), r1 AS (SELECT *, (total = bt) AS k1 FROM m1),
@@ -331,7 +331,7 @@ SEGMENTED = with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recurs
 def segment_words(spark, sf_dir):
     """Surfaces of all words of all documents with their counts, by joins over distinct runs."""
     every = written(_doc_runs(spark, sf_dir), "runs")
-    hits = written(relational.hits(every.select("run"), common(spark, sf_dir), MOST), "hits")
+    hits = written(relational.hits(every.select("run"), written(common(spark, sf_dir), "common"), MOST), "hits")
     words = relational.words_of(hits)
     return words.join(every, "run").groupBy("surface").agg(F.sum("n").alias("n"))
 
@@ -428,6 +428,6 @@ def ini_parse(spark, sf_dir):
 
 @query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recursive=True) + "SELECT run, string_agg(substring(run, pt + 1, word), ' ' ORDER BY pt) AS words FROM walk GROUP BY run")
 def token_lists(spark, sf_dir):
-    words = relational.words_of(written(relational.hits(written(_doc_runs(spark, sf_dir), "runs"), common(spark, sf_dir), MOST), "hits"))
+    words = relational.words_of(written(relational.hits(written(_doc_runs(spark, sf_dir), "runs"), written(common(spark, sf_dir), "common"), MOST), "hits"))
     lists = sinks.token_lists(words.select("run", F.col("nth").alias("pos"), "surface"), ["run"])
     return lists.select("run", F.array_join("tokens", " ").alias("words"))
