@@ -226,3 +226,18 @@ def test_paths_reach_as_far_as_terms_do(spark):
     assert [r.w3 for r in found] == [10]
     words = relational.segment_runs(every, d, 60, max_bytes=100).orderBy("nth").collect()
     assert [r.surface for r in words] == [a, b, c, "w"]
+
+
+@pytest.mark.parametrize("terms", [{}, {"ab": 7, "abc": 0, "b": 3, "bcd": 2, "cd": 9, "海上": 4, "海上生明月": 1, "明": 8}])
+def test_hits_of_pruned_lengths_are_all_hits(spark, terms):
+    texts = ["a", "abcd", "ababcdx", "海上生明月", "上海", "x海上ab"]
+    runs = spark.createDataFrame([(t,) for t in texts], "run string")
+    dictionary = spark.createDataFrame(list(terms.items()), "term string, freq int")
+    for most, max_bytes in ((36, 36), (2, 36), (36, 6)):
+        want = set()
+        for t in texts:
+            for at in range(len(t)):
+                found = {n: terms[t[at : at + n]] for n in range(1, min(most, len(t) - at) + 1) if t[at : at + n] in terms and len(t[at : at + n].encode()) <= max_bytes}
+                want.add((t, at, tuple(sorted({1, *found})), found[max(found)] if found else 1))
+        got = relational.hits(runs, dictionary, most, max_bytes).collect()
+        assert len(got) == len(want) and {(r.run, r["at"], tuple(r.lens), r.f) for r in got} == want
