@@ -59,8 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = quality.fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.toDF(*[c if c == "text" else f"own_{c}" for c in docs.columns])
-    scored = Scratch(spark, "scored").cut(quality.score_documents(rows, model).drop("predicted"), "scored")
-    rows = scored.toDF(*docs.columns, "quality__")
+    rows = quality.score_documents(rows, model).drop("predicted").toDF(*docs.columns, "quality__")
     return mixing.mix_documents(rows, quality="quality__").select(*docs.columns)
 
 

@@ -12,7 +12,8 @@ text are one entry of the order (summed with map-side combining), and in the one
 numbered by task, so neither a source nor a document that holds a third of all rows meets in one task.
 
 The mix itself works on the rows where they are: a row's key tells whether it is taken, so only the rows of the edge
-buckets are shuffled with their texts.
+buckets are shuffled with their texts. Texts are measured once, as the rows are written, and may be of many MB: no array
+of a text's words is made, and what is written holds few long texts in a row group.
 
 Target shares: sources in ascending code point order, null last, get the weights in rotation; targets stop at
 ``max_epochs`` times the source's size and the excess goes to the others by weight, which is one water level found from
@@ -26,17 +27,47 @@ columns with clashing names give way to the operator's own in the plan and stay
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexmill.llm import textbytes as tb
 from lexmill.llm.store import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK = r"[\x20\x09-\x0D]"
 #: ASCII marks that prose seldom holds; their share lowers a document's weight.
 MARKS = "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"
 
 
+def words(text: Column) -> Column:
+    """The number of words, counted as the letters of a text where each is one letter. No array of words is made."""
+    return F.char_length(F.ltrim(F.regexp_replace(text, F.lit(f"{WORD}{BLANK}*"), F.lit("x")), F.lit(" \t\n\v\f\r"))).cast("long")
+
+
+def cut_words(data: np.ndarray, n: int) -> np.ndarray:
+    """The bytes of a text up to its word n + 1; all, if it has no more than n. Looks at CHUNK bytes at a time."""
+    blank = True
+    for a in range(0, len(data), tb.CHUNK):
+        solid = ~tb.SPACE[data[a : a + tb.CHUNK]]
+        starts = np.flatnonzero(solid & np.append(blank, ~solid[:-1]))
+        if len(starts) > n:
+            return data[: a + int(starts[n])]
+        n, blank = n - len(starts), not solid[-1]
+    return data
+
+
+def _cut(texts: pa.Array, n: pa.Array) -> pa.Array:
+    def one(i: int) -> str | None:
+        if not texts[i].is_valid:
+            return None
+        return cut_words(np.frombuffer(texts[i].as_buffer(), np.uint8), n[i].as_py()).tobytes().decode()
+
+    return pa.array([one(i) for i in range(len(texts))], pa.string())
+
+
 def marks_weight(text: Column) -> Column:
     """A document's quality weight where nothing better is known: lower the more marks it holds."""
     marks = F.char_length(text) - F.char_length(F.translate(text, MARKS, ""))
@@ -53,7 +84,7 @@ def measured(docs: DataFrame, seed: str = "mix", quality: str | None = None, buc
     weight = marks_weight(text) if known is None else 0.01 + F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(known, F.lit(0.0)), F.lit(0.0))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double")
     key = -F.log((draw + 0.5) / float(1 << 52)) / weight
-    return {"text_hash": F.xxhash64("text"), "size": F.regexp_count(text, F.lit(WORD)).cast("long"), "key": key, "bucket": F.floor(key / (1.0 + key) * buckets).cast("int")}
+    return {"text_hash": F.xxhash64("text"), "size": words(text), "key": key, "bucket": F.floor(key / (1.0 + key) * buckets).cast("int")}
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -104,12 +135,14 @@ def _taken_off_edge(rows: DataFrame, want: DataFrame) -> tuple[DataFrame, DataFr
     return whole, all_.where("at_edge").drop("at_edge", "last_full")
 
 
-def _taken_at_edge(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The edge buckets' rows with taken. Their texts may be among the columns; the rows are written once, with a number each.
+def _taken_at_edge(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The edge buckets' rows with taken: those that are taken in whole passes, and those of the entries that the budget cuts.
+
+    Their texts may be among the columns; the rows are written once, with a number each.
 
     The order of entries is a window over one bucket's distinct documents; copies of one are counted, never gathered.
     """
-    rows = scratch.cut(rows.withColumn("nr", F.monotonically_increasing_id()), "edge")
+    rows = scratch.cut(rows.withColumn("nr", F.monotonically_increasing_id()), "edge", texts=True)
     same = ["source", "key", "doc_id", "text_hash"]
     entries = rows.groupBy(*same, "size", "rest", "before").agg(F.count(F.lit(1)).alias("copies"))
     run = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "text_hash").rowsBetween(W.unboundedPreceding, -1)
@@ -124,7 +157,7 @@ def _taken_at_edge(rows: DataFrame, scratch: Scratch) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("source", "task").orderBy("nr")) - 1
     split = split.withColumn("nth", nth).alias("r").join(tasks.alias("t"), _same("r", "t", "task")).select("r.*", "ahead")
     split = split.withColumn("taken", own(F.col("left") - (F.col("ahead") + F.col("nth")) * F.col("size")))
-    return plain.drop("nr", "left", "cut").unionByName(split.drop("nr", "left", "cut", "task", "nth", "ahead"))
+    return plain.drop("nr", "left", "cut"), split.drop("nr", "left", "cut", "task", "nth", "ahead")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, buckets: int = 4096, seed: str = "mix", quality: str | None = None) -> DataFrame:
@@ -133,26 +166,28 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     base = scratch.cut(docs.select("doc_id", "source", *[c.alias(n) for n, c in measured(docs, seed, quality, buckets).items()]), "base")
     whole, edge = _taken_off_edge(base, _budgets(base, scratch, weights, share, max_epochs))
     columns = ["doc_id", "text_hash", "source", "size", "source_size", "target", "key", "epochs", "taken"]
-    return whole.select(columns).unionByName(_taken_at_edge(edge, scratch).select(columns))
+    plain, split = _taken_at_edge(edge, scratch)
+    return whole.select(columns).unionByName(plain.select(columns)).unionByName(split.select(columns))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, buckets: int = 4096, seed: str = "mix", quality: str | None = None) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each pass over a document; a part-taken pass keeps its first words."""
     scratch = Scratch(docs.sparkSession, "mixed")
-    base = docs.select("source", *[c.alias(n) for n, c in measured(docs, seed, quality, buckets).items() if n in ("size", "bucket")])
-    want = _budgets(base, scratch, weights, share, max_epochs)
     own = F.struct(*docs.columns).alias("own")
-    rows = docs.select(own, "doc_id", "source", *[c.alias(n) for n, c in measured(docs, seed, quality, buckets).items()])
+    rows = scratch.cut(docs.select(own, "doc_id", "source", *[c.alias(n) for n, c in measured(docs, seed, quality, buckets).items()]), "measured", texts=True)
+    want = _budgets(rows.select("source", "size", "bucket"), scratch, weights, share, max_epochs)
     whole, edge = _taken_off_edge(rows, want)
-    columns = ["own", "size", "taken"]
-    rows = whole.select(columns).unionByName(_taken_at_edge(edge, scratch).select(columns)).where(F.col("taken") > 0)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("pass"))
-    part = F.col("taken") - (F.col("pass") - 1) * F.col("size")
-    text = F.col("own.text")
-    pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    blank = F.when(F.rlike(text, F.lit(r"\A[\x20\x09-\x0D]")), 1).otherwise(0)
-    head = F.array_join(F.slice(pieces, F.lit(1), (part + blank).cast("int")), "")
-    new = {"text": F.when(part < F.col("size"), head).otherwise(text)}
+    plain, split = _taken_at_edge(edge, scratch)
+
+    def passes(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("taken") > 0)
+        return rows.select("own", "size", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("pass"))
+
+    # only one text a source is cut, outside the JVM's heap, as it may be long
+    split = passes(split).withColumn("part", F.col("taken") - (F.col("pass") - 1) * F.col("size"))
+    split = split.withColumn("head", F.arrow_udf(_cut, "string")(F.when(F.col("part") < F.col("size"), F.col("own.text")), "part"))
+    new = {"text": F.coalesce("head", "own.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(part < F.col("size"), F.char_length(head).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own.n_chars"))
-    return rows.select(*[new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("head").isNotNull(), F.char_length("head").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own.n_chars"))
+    cut = split.select(*[new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
+    return passes(whole).select("own.*").unionByName(passes(plain).select("own.*")).unionByName(cut)

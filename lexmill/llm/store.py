@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.plans.scratch import clear, delete, shared_folder
 
 __all__ = ["Scratch", "clear"]
+#: Parquet looks at the bytes of a row group and a page after 100 rows first, if not told otherwise: 6 GB of texts of 60 MB.
+TEXTS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1}
 
 
 class Scratch:
@@ -21,9 +23,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, shared_folder(spark, label)
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+        """``texts``: rows hold whole texts, which may be long, so row groups and pages are bounded by bytes from the first row on."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.options(**TEXTS if texts else {}).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.cases import ROWS, SHARED, documents
 from tests.test_queries import same
 
 import __spark_entry__ as entry
-from lexmill.llm import chat, line_dedup, mixing
+from lexmill.llm import chat, line_dedup, mixing, store
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -161,6 +163,34 @@ def test_mix_of_repeated_rows(spark, hot, buckets):
     mixed_equals_plan(spark, rows[:40] + [(1, "z " * 500, "en", "a")], buckets=buckets)
 
 
+ODD = ["", " ", "a", " a", "a ", "\t\n a  b\r\x0b\x0cc ", "\x01a \x01b\x00 \U0001f600\U0001f600 é\u00a0é \u3000", "$1 \\ x", " \n" * 40 + "end", "end" + " \n" * 40]
+
+
+def test_words_of_odd_texts(spark, monkeypatch):
+    frame = spark.createDataFrame([(t,) for t in ODD], "text string")
+    assert [r.n for r in frame.select("text", mixing.words(F.col("text")).alias("n")).collect()] == [words_of(t) for t in ODD]
+    for size in (1, 2, 3, 1 << 20):
+        monkeypatch.setattr(mixing.tb, "CHUNK", size)
+        for t in ODD:
+            ends = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] + [len(t)]
+            for n in range(1, len(ends)):
+                assert mixing.cut_words(np.frombuffer(t.encode(), np.uint8), n).tobytes().decode() == t[: ends[n]]
+
+
+def test_mix_makes_no_arrays_of_words(spark):
+    """A long text's words as an array of strings take ten times its bytes, and one such text filled an executor's heap."""
+    docs = documents(spark, ROWS)
+    plans = docs.select(mixing.measured(docs)["size"])._jdf.queryExecution().toString() + mixing.mix_documents(docs)._jdf.queryExecution().toString()
+    assert not re.search(r"regexp_count|regexp_extract_all|split\(", plans)
+
+
+def test_long_texts_share_no_row_group(spark):
+    long = spark.range(150, numPartitions=1).select("id", F.expr("array_join(transform(sequence(1, 6250), x -> md5(concat(id, ' ', x))), '')").alias("text"))
+    (file,) = store.Scratch(spark, "test").cut(long, "long", texts=True).inputFiles()
+    found = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert found.num_rows == 150 and max(found.row_group(i).total_byte_size for i in range(found.num_row_groups)) < 20 << 20
+
+
 def test_quality_weighs(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'a b c' AS text", "'s' AS source", "IF(id % 2 = 0, 0.9D, IF(id % 4 = 1, 0.1D, double('NaN'))) AS q")
     taken = {r.doc_id: r.taken - 3 * r.epochs for r in mixing.plan_mix(docs, quality="q", share=0.5).collect()}
