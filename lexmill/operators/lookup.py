@@ -17,12 +17,18 @@ def exact(rows: DataFrame, dictionary: DataFrame, term: str = "term") -> DataFra
 def prefix_hits(rows: DataFrame, dictionary: DataFrame, text: str, most: int, max_bytes: int = 36) -> DataFrame:
     """Each row with each dictionary term that is a prefix of its text: columns term, len (characters) and freq."""
     every = rows.withColumn("term", F.explode(tx.prefixes(F.col(text), most))).where(F.octet_length("term") <= max_bytes)
-    return every.join(dictionary.select("term", F.col("freq").cast("int").alias("freq")), "term").withColumn("len", F.char_length("term"))
+    return every.hint("merge").join(dictionary.select("term", F.col("freq").cast("int").alias("freq")), "term").withColumn("len", F.char_length("term"))
 
 
 def longest_prefix(rows: DataFrame, synonyms: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """(key, term, canonical) of the longest synonym that is a prefix of each row's text; rows without any are left out."""
-    every = rows.select(key, F.explode(tx.prefixes(F.col(text), most)).alias("term")).join(synonyms, "term")
+    """(key, term, canonical) of the longest synonym that is a prefix of each row's text; rows without any are left out.
+
+    A row gives prefixes only of lengths that synonyms have. Spark takes exploded rows for as small as their source and
+    would broadcast them; the hint has them sorted and merged, whatever their number.
+    """
+    sizes = synonyms.where(F.char_length("term").between(1, most)).agg(F.collect_set(F.char_length("term")).alias("__sizes"))
+    fit = F.transform(F.filter("__sizes", lambda n: n <= F.char_length(text)), lambda n: F.substring(F.col(text), F.lit(1), n))
+    every = rows.select(key, text).crossJoin(F.broadcast(sizes)).select(key, F.explode(fit).alias("term")).hint("merge").join(synonyms, "term")
     return every.groupBy(key).agg(F.max_by(F.struct("term", "canonical"), F.char_length("term")).alias("hit")).select(key, "hit.term", "hit.canonical")
 
 
