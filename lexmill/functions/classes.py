@@ -43,12 +43,17 @@ def letters_as_words() -> CharClasses:
     return CharClasses(m="0-9０-９", e="", w=ASCII_SEPARATORS + CJK_SEPARATORS + " \\t")
 
 
-def piece_pattern(classes: CharClasses, merge: bool = False, separate: bool = False, joint: str = "") -> str:
+def piece_pattern(classes: CharClasses, merge: bool = False, separate: bool = False, joint: str = "", star: str = "*") -> str:
     """A pattern whose matches tile a text: line ends, separators, letter and digit runs, runs of ordinary characters."""
-    return "|".join(x for x in ("[\\r\\n]", f"[{classes.w}]" if classes.w else "", me_pattern(classes, merge, separate, joint), f"[^\\r\\n{classes.any_of('m', 'e', 'w')}]+") if x)
+    return "|".join(x for x in ("[\\r\\n]", f"[{classes.w}]" if classes.w else "", me_pattern(classes, merge, separate, joint, star), f"[^\\r\\n{classes.any_of('m', 'e', 'w')}]+") if x)
 
 
-def me_pattern(classes: CharClasses, merge: bool = False, separate: bool = False, joint: str = "") -> str:
+#: The star of groups for Java, which keeps a stack frame for each pass of a plain one, so that a run of some thousand
+#: characters overflows a thread's stack; RE2 lacks it. A run's star ends its pattern, so both match the same.
+JAVA_STAR = "*+"
+
+
+def me_pattern(classes: CharClasses, merge: bool = False, separate: bool = False, joint: str = "", star: str = "*") -> str:
     """Letter and digit runs. A run goes on by the class of its first character, which later characters don't change;
     a joint character, and whatever follows one, belongs to the run; ``separate`` keeps digits out of any continuation."""
     m, e = classes.m, classes.e
@@ -63,7 +68,7 @@ def me_pattern(classes: CharClasses, merge: bool = False, separate: bool = False
         steps = ([f"[{glue}]+{after}"] if glue else []) + ([f"[{more}]"] if more else [])
         own = _inside(c for c in joint if re.match(f"[{first}]", c))
         head = f"(?:[{own}]{after}|[{first}])" if own else f"[{first}]"
-        return head + (f"(?:{'|'.join(steps)})*" if steps else "")
+        return head + (f"(?:{'|'.join(steps)}){star}" if steps else "")
 
     return "|".join(run(c, c) for c in (m, e) if c)
 

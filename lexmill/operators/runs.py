@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lexmill.config import SegmentConfig
 from lexmill.functions import text as tx
-from lexmill.functions.classes import kind_of, me_pattern, piece_pattern
+from lexmill.functions.classes import JAVA_STAR, kind_of, me_pattern, piece_pattern
 
 
 def pieces_of(text: Column, config: SegmentConfig = SegmentConfig()) -> Column:
     """The pieces that tile a text, as an array."""
-    return F.regexp_extract_all(tx.clean(text), F.lit(piece_pattern(config.classes, config.merge, config.separate, config.joint)), F.lit(0))
+    return F.regexp_extract_all(tx.clean(text), F.lit(piece_pattern(config.classes, config.merge, config.separate, config.joint, JAVA_STAR)), F.lit(0))
 
 
 def pieces(rows: DataFrame, config: SegmentConfig = SegmentConfig(), text: str = "text") -> DataFrame:
@@ -24,7 +24,7 @@ def pieces(rows: DataFrame, config: SegmentConfig = SegmentConfig(), text: str =
 
 def letter_digit_runs(rows: DataFrame, config: SegmentConfig = SegmentConfig(), text: str = "text") -> DataFrame:
     """(token, n): the letter and digit runs of all texts and how often each occurs."""
-    found = rows.select(F.explode(F.regexp_extract_all(tx.clean(F.col(text)), F.lit(me_pattern(config.classes, config.merge, config.separate, config.joint)), F.lit(0))).alias("token"))
+    found = rows.select(F.explode(F.regexp_extract_all(tx.clean(F.col(text)), F.lit(me_pattern(config.classes, config.merge, config.separate, config.joint, JAVA_STAR)), F.lit(0))).alias("token"))
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

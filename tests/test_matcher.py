@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from lexmill.config import SegmentConfig
-from lexmill.functions.classes import default_classes, letters_as_words
+from lexmill.functions.classes import default_classes, letters_as_words, me_pattern, piece_pattern
 from lexmill.operators import matcher, relational, runs
 from lexmill.operators.matcher import Lexicon, Segmenter, segment_run
 
@@ -63,6 +66,18 @@ def test_letter_and_digit_runs(spark, how, want):
     assert list(got.values()) == want
 
 
+@pytest.mark.parametrize("how", [{"merge": True, "joint": "-."}, {"joint": "-'@"}, {"merge": True}])
+def test_long_letter_and_digit_runs(spark, how):
+    """Long runs take no stack: a plain group's star in Java overflows it."""
+    config = SegmentConfig(**how)
+    texts = ["ab-1." * 40_000, "a-b" * 40_000, "-.x" + "aé" * 40_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [re.findall(piece_pattern(config.classes, config.merge, config.separate, config.joint), t) for t in texts]
+    assert [[r.piece for r in runs.pieces(rows.where(f"doc_id = {i}"), config).orderBy("pos").collect()] for i in range(3)] == want
+    got = {r.token: r.n for r in runs.letter_digit_runs(rows, config).collect()}
+    assert got == Counter(m for t in texts for m in re.findall(me_pattern(config.classes, config.merge, config.separate, config.joint), t))
+
+
 def walked(text, config):
     """Letter and digit runs by walking the characters one by one."""
     c = config.classes
