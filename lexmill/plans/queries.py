@@ -11,7 +11,7 @@ from lexmill import sinks
 from lexmill.config import SegmentConfig
 from lexmill.functions import text as tx
 from lexmill.functions.classes import FOLD_FROM, FOLD_TO, fold, letters_as_words, me_pattern, piece_pattern
-from lexmill.operators import dictionary, enrich, lookup, matcher, relational, runs
+from lexmill.operators import dictionary, enrich, kernel, lookup, matcher, relational, runs
 from lexmill.plans.scratch import shared_folder, written
 from lexmill.session import spread
 from lexmill.sources import readers
@@ -298,9 +298,16 @@ def _doc_runs(spark, sf_dir):
     return runs.ordinary_runs(lowered(spark, sf_dir, "documents"), WORDS)
 
 
-def _doc_paths(spark, sf_dir):
-    every = written(_doc_runs(spark, sf_dir), "runs")
-    return relational.paths(written(relational.hits(every, written(common(spark, sf_dir), "common"), MOST), "hits"))
+def _doc_hits(spark, sf_dir):
+    """Distinct runs, dictionary and hits, for dictionaries larger than a worker may hold."""
+    every, words = written(_doc_runs(spark, sf_dir), "runs"), written(common(spark, sf_dir), "common")
+    return every, words, written(relational.hits(every.select("run"), words, MOST), "hits")
+
+
+def _matched(spark, sf_dir, where_runs_are, by_joins):
+    """What the matcher finds in the documents' distinct runs: where they are, unless the dictionary is too large for that."""
+    packed = kernel.collect(common(spark, sf_dir))
+    return by_joins(*_doc_hits(spark, sf_dir)) if packed is None else where_runs_are(_doc_runs(spark, sf_dir), packed)
 
 
 @query(with_(COMMON, runs_sql("benchmark"), HITS, PATHS) + "SELECT run, CAST(pt AS BIGINT) AS \"at\", CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(w1 AS BIGINT) AS w1, CAST(w2 AS BIGINT) AS w2, CAST(w3 AS BIGINT) AS w3, CAST(f1 AS BIGINT) AS f1, CAST(f2 AS BIGINT) AS f2, CAST(f3 AS BIGINT) AS f3 FROM p3")
@@ -316,12 +323,14 @@ m3 AS (SELECT *, min(squares) FILTER (WHERE k2) OVER (PARTITION BY run, pt) AS b
 m4 AS (SELECT *, max(score) FILTER (WHERE k3) OVER (PARTITION BY run, pt) AS bf FROM r3)
 SELECT run, CAST(pt AS BIGINT) AS \"at\", count(*) AS n_paths, count(*) FILTER (WHERE k1) AS rule1, count(*) FILTER (WHERE k2) AS rule2, count(*) FILTER (WHERE k3) AS rule3, count(*) FILTER (WHERE k3 AND score = bf) AS rule4 FROM m4 GROUP BY run, pt""")
 def rule_survivors(spark, sf_dir):
-    return relational.survivors(written(relational.scored(_doc_paths(spark, sf_dir)), "paths"))
+    joins = lambda every, words, hits: relational.survivors(written(relational.scored(relational.paths(hits)), "paths"))
+    return _matched(spark, sf_dir, kernel.survivors, joins)
 
 
 @query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT) + "SELECT run, CAST(pt AS BIGINT) AS \"at\", CAST(word AS BIGINT) AS word FROM nx")
 def next_step(spark, sf_dir):
-    return relational.next_words(relational.scored(_doc_paths(spark, sf_dir)))
+    joins = lambda every, words, hits: relational.next_words(relational.scored(relational.paths(hits)))
+    return _matched(spark, sf_dir, kernel.next_words, joins)
 
 
 SEGMENTED = with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recursive=True) + "SELECT substring(w.run, w.pt + 1, w.word) AS surface, CAST(sum(r.n) AS BIGINT) AS n FROM walk w JOIN runs r ON r.run = w.run GROUP BY 1"
@@ -329,11 +338,12 @@ SEGMENTED = with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recurs
 
 @query(SEGMENTED)
 def segment_words(spark, sf_dir):
-    """Surfaces of all words of all documents with their counts, by joins over distinct runs."""
-    every = written(_doc_runs(spark, sf_dir), "runs")
-    hits = written(relational.hits(every.select("run"), written(common(spark, sf_dir), "common"), MOST), "hits")
-    words = relational.words_of(hits)
-    return words.join(every, "run").groupBy("surface").agg(F.sum("n").alias("n"))
+    """Surfaces of all words of all documents with their counts, from distinct runs."""
+
+    def joins(every, words, hits):
+        return relational.words_of(hits).join(every, "run").groupBy("surface").agg(F.sum("n").alias("n"))
+
+    return _matched(spark, sf_dir, kernel.word_counts, joins)
 
 
 @query(SEGMENTED)
@@ -352,16 +362,15 @@ def token_offsets(spark, sf_dir):
 
 @query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, "rp AS (SELECT s.* FROM s JOIN walk w ON w.run = s.run AND w.pt = s.pt)", """laid AS (SELECT run, pt AS start, w1 AS len, f1 AS f FROM rp UNION ALL SELECT run, pt + w1, w2, f2 FROM rp WHERE w2 IS NOT NULL UNION ALL SELECT run, pt + w1 + w2, w3, f3 FROM rp WHERE w3 IS NOT NULL)""", recursive=True) + """SELECT DISTINCT l.run, CAST(l.start AS BIGINT) AS start, CAST(l.len AS BIGINT) AS len, substring(l.run, l.start + 1, l.len) AS surface FROM laid l LEFT JOIN walk w ON w.run = l.run AND w.pt = l.start AND w.word = l.len WHERE l.f >= 2 AND w.run IS NULL""")
 def omni_tokens(spark, sf_dir):
-    return relational.omni_of(written(_doc_paths(spark, sf_dir), "paths"))
+    joins = lambda every, words, hits: relational.omni_of(written(relational.paths(hits), "paths"))
+    return _matched(spark, sf_dir, kernel.omni, joins)
 
 
 @query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recursive=True) + """SELECT c.run, CAST(c.pt AS BIGINT) AS start, CAST(c.len AS BIGINT) AS len, substring(c.run, c.pt + 1, c.len) AS surface
 FROM cut c JOIN lex k ON k.term = substring(c.run, c.pt + 1, c.len) AND k.freq >= 50 LEFT JOIN walk w ON w.run = c.run AND w.pt = c.pt AND w.word = c.len WHERE w.run IS NULL""")
 def keyword_minus_tokens(spark, sf_dir):
-    words = written(common(spark, sf_dir), "lexicon")
-    found = written(_doc_runs(spark, sf_dir), "runs")
-    tokens = relational.words_of(written(relational.hits(found, words, MOST), "hits"))
-    return relational.keyword_hits(found, words.where(F.col("freq") >= 50), MOST, tokens)
+    joins = lambda every, words, hits: relational.keyword_hits(every, words.where(F.col("freq") >= 50), MOST, relational.words_of(hits))
+    return _matched(spark, sf_dir, lambda every, packed: kernel.keyword_hits(every, packed, 50), joins)
 
 
 @query()
@@ -428,6 +437,6 @@ def ini_parse(spark, sf_dir):
 
 @query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, recursive=True) + "SELECT run, string_agg(substring(run, pt + 1, word), ' ' ORDER BY pt) AS words FROM walk GROUP BY run")
 def token_lists(spark, sf_dir):
-    words = relational.words_of(written(relational.hits(written(_doc_runs(spark, sf_dir), "runs"), written(common(spark, sf_dir), "common"), MOST), "hits"))
-    lists = sinks.token_lists(words.select("run", F.col("nth").alias("pos"), "surface"), ["run"])
+    joins = lambda every, words, hits: sinks.token_lists(relational.words_of(hits).select("run", F.col("nth").alias("pos"), "surface"), ["run"])
+    lists = _matched(spark, sf_dir, kernel.word_lists, joins)
     return lists.select("run", F.array_join("tokens", " ").alias("words"))
