@@ -1,6 +1,6 @@
 """The matcher over many runs at once, by array operations, with a dictionary of plain arrays.
 
-``collect`` packs a dictionary into a hash table over its terms' code points: some 40 bytes a term in each worker, of at
+``collect`` packs a dictionary into a hash table over its terms' code points: some 80 bytes a term in each worker, of at
 most ``MOST`` terms, which is checked. What depends on a run alone (paths, rules, the walk, sub-words) is worked out where
 the run is: no path is ever a row, and nothing is shuffled. Larger dictionaries take the joins of ``relational``, which
 these functions equal. Hashes only find candidates; terms are compared by their characters.
@@ -47,19 +47,24 @@ def _tags(h: np.ndarray) -> np.ndarray:
     return (((h ^ (h >> np.uint64(31))) * BASE) >> np.uint64(7) & TAG).astype(np.int64)
 
 
+def _narrow(x: np.ndarray, to: type) -> np.ndarray:
+    return x.astype(to) if int(x.max(initial=0)) <= np.iinfo(to).max else x
+
+
 class Packed:
     """A dictionary as arrays: distinct terms of 1 to ``max_bytes`` bytes with their frequencies, and a hash table of them."""
 
     def __init__(self, terms: pa.Array, freq: np.ndarray, max_bytes: int = 36):
-        self.max_bytes, self.freq = max_bytes, freq.astype(np.int64)
+        self.max_bytes, self.freq = max_bytes, _narrow(freq.astype(np.int64), np.int32)
         self.chars, self.at = characters(terms)
         sizes = np.diff(self.at)
+        self.chars, self.at = _narrow(self.chars, np.uint16), _narrow(self.at, np.int32)
         self.longest = int(sizes.max(initial=0))
         h = np.zeros(len(sizes), np.uint64)
         for k in range(self.longest):
             more = np.flatnonzero(sizes > k)
             h[more] = h[more] * BASE + self.chars[self.at[more] + k] + ONE
-        self.bits = max(4, int(2 * len(sizes)).bit_length())
+        self.bits = max(4, (3 * len(sizes) // 2).bit_length())
         self.table = np.full(1 << self.bits, -1, np.int64)
         entry, slot, left = (_tags(h) << 32) | np.arange(len(sizes)), _slots(h, self.bits), np.arange(len(sizes))
         while len(left):
@@ -121,6 +126,7 @@ class Matcher:
     def __init__(self, lexicon: Packed, inclusive: bool = False, compat: bool = False):
         self.lexicon, self.inclusive = lexicon, inclusive
         each, which = np.unique(lexicon.freq & 65535 if compat else lexicon.freq, return_inverse=True)
+        self.freq = np.append(lexicon.freq, lexicon.freq.dtype.type(1))
         self.logs = np.append(np.array([math.log(f + 1.0) for f in each.tolist()], np.float64)[which], math.log(2.0))  # the last: of no term
 
     def cut(self, runs: pa.Array) -> Cut:
@@ -173,7 +179,7 @@ class Cut:
             filled[place] += 1
         last = self.start + self.n - 1
         self.most, best = self.size[last], self.term[last]
-        self.f = np.where(best >= 0, np.append(lexicon.freq, 1)[best], 1)
+        self.f = matcher.freq[best]
         self.log = matcher.logs[best]
 
     def paths(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql.window import Window as W
 from lexmill.config import SegmentConfig
 from lexmill.functions.classes import piece_pattern
 from lexmill.functions.text import BOM
+from lexmill.operators import kernel
 
 #: Rows of a dictionary that a worker may hold; larger ones need the relational form.
 MOST_TERMS = 2_000_000
@@ -175,13 +178,24 @@ class _Pieces(dict):
 
     def __init__(self, segmenter: Segmenter):
         self.segmenter, self.vocabulary = segmenter, {}
-        self.words, self.sizes, self.kinds = [], [], []
+        self.words, self.sizes, self.kinds = array("q"), array("q"), array("q")
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Take in those of the pieces that are new, the runs among them cut together."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self]
+        runs = [p for p in new if self.segmenter.kind(p) == RUN]
+        cut = dict(zip(runs, self.segmenter.words_of(runs)))
+        for p in new:
+            self.add(p, cut.get(p))
 
     def __missing__(self, piece: str) -> int:
+        return self.add(piece, self.segmenter.words(piece) if self.segmenter.kind(piece) == RUN else None)
+
+    def add(self, piece: str, words: list[str] | None) -> int:
         self[piece] = n = len(self)
         kind = self.segmenter.kind(piece)
-        found = self.segmenter.words(piece) if kind == RUN else [piece]
-        self.words += [self.vocabulary.setdefault(t, len(self.vocabulary)) for t in found]
+        found = [piece] if words is None else words
+        self.words.extend(self.vocabulary.setdefault(t, len(self.vocabulary)) for t in found)
         self.sizes.append(len(found))
         self.kinds.append(kind)
         return n
@@ -208,10 +222,11 @@ class Tokens:
 class Segmenter:
     """A worker's segmenter. Pieces repeat, so each is cut once and its tokens are kept, up to a bound."""
 
-    KEPT = 200_000
+    KEPT = 100_000
 
-    def __init__(self, lexicon: Lexicon, config: SegmentConfig):
+    def __init__(self, lexicon: Lexicon | kernel.Packed, config: SegmentConfig):
         self.lexicon, self.config = lexicon, config
+        self.matcher = kernel.Matcher(lexicon, config.lookahead_inclusive, config.compat) if isinstance(lexicon, kernel.Packed) else None
         self.pattern = re.compile(piece_pattern(config.classes, config.merge, config.separate, config.joint))
         c = config.classes
         self.classes = [(k, re.compile(f"[{body}]")) for k, body in ((SEPARATOR, c.w), (NUMBER, c.m), (LETTER, c.e)) if body]
@@ -224,7 +239,16 @@ class Segmenter:
             got = self.kind_of[piece[0]] = next((k for k, r in self.classes if r.match(piece)), RUN)
         return got
 
+    def words_of(self, runs: list[str]) -> list[list[str]]:
+        """The words of each run."""
+        if self.matcher is None:
+            return [self.words(r) for r in runs]
+        parts = kernel.chunks(np.array([len(r) for r in runs], np.int64), kernel.CHARS)
+        return [w for a, b in parts for w in kernel.words(self.matcher.cut(pa.array(runs[a:b], pa.string())))]
+
     def words(self, run: str) -> list[str]:
+        if self.matcher is not None:
+            return self.words_of([run])[0]
         out, at = [], 0
         for n in segment_run(run, self.lexicon, self.config.lookahead_inclusive, self.config.compat):
             out.append(run[at : at + n])
@@ -245,8 +269,11 @@ class Segmenter:
         """
         if len(self.known) > self.KEPT:
             self.known = _Pieces(self)
+        found = [self.pieces(t) for t in texts]
+        self.known.learn(chain.from_iterable(found))
         number = self.known.__getitem__
-        each = [np.array(list(map(number, self.pieces(t))), np.int64) for t in texts]
+        each = [np.array(list(map(number, x)), np.int64) for x in found]
+        del found
         per = np.array([len(x) for x in each], np.int64)
         piece = np.concatenate(each) if each else np.zeros(0, np.int64)
         flat, sizes, kinds = (np.array(x, np.int64) for x in (self.known.words, self.known.sizes, self.known.kinds))
@@ -288,17 +315,29 @@ def collect_lexicon(dictionary: DataFrame, max_bytes: int = 36, most: int = MOST
     return Lexicon({r.term: r.freq for r in rows}, max_bytes)
 
 
+def pack_lexicon(dictionary: DataFrame, max_bytes: int = 36) -> kernel.Packed:
+    """A dictionary for the workers in some 80 bytes a term: for large ones. Its size is checked first."""
+    packed = kernel.collect(dictionary, max_bytes)
+    if packed is None:
+        raise ValueError(f"the dictionary has over {kernel.MOST} terms: use lexmill.operators.relational")
+    return packed
+
+
 DETAILS = [("start_byte", IntegerType(), pa.int32()), ("byte_len", IntegerType(), pa.int32()), ("kind", StringType(), pa.string()), ("chunk", IntegerType(), pa.int32())]
-#: Texts that are cut together.
-STEP = 500
+#: Texts that are cut together, and bytes of them (a longer text is cut alone).
+STEP, STEP_BYTES = 500, 1 << 19
+
+
+def _steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return kernel.chunks(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64), STEP_BYTES, STEP)
 
 
 def _map_tokens(shared, config: SegmentConfig, at: int, details: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, kinds = Segmenter(shared.value, config), pa.array(KINDS)
         for batch in batches:
-            for step in range(0, batch.num_rows, STEP):
-                part = batch.slice(step, STEP)
+            for lo, hi in _steps(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
                 got = seg.cut([x.as_py() or "" for x in part.column(at)])
                 source, heads = np.repeat(np.arange(part.num_rows), got.counts), np.cumsum(got.counts) - got.counts
                 pos = (np.arange(len(source)) - heads[source]).astype(np.int32)
@@ -315,22 +354,22 @@ def _map_counts(shared, config: SegmentConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(shared.value, config)
         for batch in batches:
-            for step in range(0, batch.num_rows, STEP):
-                got = seg.cut([x.as_py() or "" for x in batch.column(0).slice(step, STEP)])
+            for lo, hi in _steps(batch.column(0)):
+                got = seg.cut([x.as_py() or "" for x in batch.column(0).slice(lo, hi - lo)])
                 code, n = np.unique(got.which * len(KINDS) + got.kind, return_counts=True)
                 yield pa.RecordBatch.from_arrays([got.vocabulary.take(pa.array(code // len(KINDS))), pa.array(KINDS).take(pa.array(code % len(KINDS))), pa.array(n)], ["surface", "kind", "n"])
 
     return run
 
 
-def count_tokens(rows: DataFrame, lexicon: Lexicon, config: SegmentConfig = SegmentConfig(), text: str = "text") -> DataFrame:
+def count_tokens(rows: DataFrame, lexicon: Lexicon | kernel.Packed, config: SegmentConfig = SegmentConfig(), text: str = "text") -> DataFrame:
     """(surface, kind, n): how often each token occurs in all texts. Tokens are counted where they are cut, and the counts added up."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
     part = rows.select(text).mapInArrow(_map_counts(shared, config), "surface string, kind string, n long")
     return part.groupBy("surface", "kind").agg(F.sum("n").alias("n"))
 
 
-def segment(rows: DataFrame, lexicon: Lexicon, config: SegmentConfig = SegmentConfig(), text: str = "text", details: bool = False) -> DataFrame:
+def segment(rows: DataFrame, lexicon: Lexicon | kernel.Packed, config: SegmentConfig = SegmentConfig(), text: str = "text", details: bool = False) -> DataFrame:
     """The other columns of ``rows`` with pos and surface of each token of its text. Works on streams as well.
 
     ``details`` adds start_byte, byte_len, kind and chunk. Null text has no tokens. Tokens tile the text; line ends and

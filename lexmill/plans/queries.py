@@ -349,14 +349,14 @@ def segment_words(spark, sf_dir):
 @query(SEGMENTED)
 def segment_arrow(spark, sf_dir):
     """The same by the Arrow matcher over the texts."""
-    counts = matcher.count_tokens(lowered(spark, sf_dir, "documents"), matcher.collect_lexicon(common(spark, sf_dir)), WORDS)
+    counts = matcher.count_tokens(lowered(spark, sf_dir, "documents"), matcher.pack_lexicon(common(spark, sf_dir)), WORDS)
     return counts.where(F.col("kind") == "word").select("surface", "n")
 
 
 @query(with_(COMMON, runs_sql("documents"), HITS, PATHS, NEXT, WALK, f"pc AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {quoted(piece_pattern(WORDS.classes))})) AS piece, generate_subscripts(regexp_extract_all(lower(text), {quoted(piece_pattern(WORDS.classes))}), 1) AS k FROM documents)", """tk AS (SELECT doc_id, k, coalesce(w.nth, 0) AS nth, CASE WHEN w.run IS NULL THEN piece ELSE substring(piece, w.pt + 1, w.word) END AS surface FROM pc LEFT JOIN walk w ON w.run = pc.piece)""", recursive=True) + """SELECT doc_id, CAST(row_number() OVER o - 1 AS BIGINT) AS pos, surface, CAST(strlen(surface) AS BIGINT) AS byte_len, CAST(sum(strlen(surface)) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_byte,
 CAST(sum(strlen(surface)) OVER (o ROWS UNBOUNDED PRECEDING) - strlen(surface) AS BIGINT) AS start_byte FROM tk WINDOW o AS (PARTITION BY doc_id ORDER BY k, nth)""")
 def token_offsets(spark, sf_dir):
-    tokens = matcher.segment(lowered(spark, sf_dir, "documents").select("doc_id", "text"), matcher.collect_lexicon(common(spark, sf_dir)), WORDS, details=True)
+    tokens = matcher.segment(lowered(spark, sf_dir, "documents").select("doc_id", "text"), matcher.pack_lexicon(common(spark, sf_dir)), WORDS, details=True)
     return tokens.select("doc_id", "pos", "surface", "byte_len", (F.col("start_byte") + F.col("byte_len")).alias("end_byte"), "start_byte")
 
 
@@ -377,7 +377,7 @@ def keyword_minus_tokens(spark, sf_dir):
 def stream_segment(spark, sf_dir):
     """Counts of the tokens that a stream over the documents' files yields."""
     folder = shared_folder(spark, "stream")
-    segment_folder(spark, f"{sf_dir}/documents.parque[t]", f"{folder}/tokens", f"{folder}/state", matcher.collect_lexicon(common(spark, sf_dir)), WORDS, ("doc_id", "text"), lower=True)
+    segment_folder(spark, f"{sf_dir}/documents.parque[t]", f"{folder}/tokens", f"{folder}/state", matcher.pack_lexicon(common(spark, sf_dir)), WORDS, ("doc_id", "text"), lower=True)
     return spark.read.parquet(f"{folder}/tokens").groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
 
 

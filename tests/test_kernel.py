@@ -77,3 +77,19 @@ def test_packed_dictionaries_are_small():
     """A worker's dictionary once took some 300 bytes a term."""
     p = packed({f"{i:x}term": i for i in range(50_000)})
     assert sum(x.nbytes for x in vars(p).values() if isinstance(x, np.ndarray)) < 100 * 50_000
+
+
+def test_packed_stream_tokens(monkeypatch):
+    """Texts cut by a packed dictionary, in small steps and with a small memory of pieces, have the plain rules' tokens."""
+    terms, runs = random_case(7)
+    texts = [" ".join(runs[:k]) + "\n12" * k for k in range(len(runs))] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    monkeypatch.setattr(matcher, "STEP_BYTES", 40)
+    monkeypatch.setattr(matcher.Segmenter, "KEPT", 3)
+
+    class Shared:
+        value = packed(terms)
+
+    got = [tuple(r.values()) for b in matcher._map_tokens(Shared, SegmentConfig(), 1, True)(iter([batch])) for r in b.to_pylist()]
+    plain = matcher.Segmenter(matcher.Lexicon(dict(terms)), SegmentConfig())
+    assert [(r[0], r[1], r[2]) for r in got] == [(i, k, t) for i, x in enumerate(texts) for k, t in enumerate(plain.tokens(x or ""))]
