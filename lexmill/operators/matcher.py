@@ -222,7 +222,7 @@ class Tokens:
 class Segmenter:
     """A worker's segmenter. Pieces repeat, so each is cut once and its tokens are kept, up to a bound."""
 
-    KEPT = 100_000
+    KEPT = 200_000
 
     def __init__(self, lexicon: Lexicon | kernel.Packed, config: SegmentConfig):
         self.lexicon, self.config = lexicon, config
